@@ -101,3 +101,24 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         raise RuntimeError("connected components did not converge")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def store(uri: str):
+    """``(filesystem, path)`` of pyarrow for a folder or file of the shared store, on driver or executor."""
+    import re
+
+    from pyarrow import fs
+
+    uri = re.sub(r"^file:/+", "/", uri)
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def put_file(folder: str, name: str, content: bytes) -> str:
+    """Write a file whole: under a name of this attempt, then renamed, so a retried task only replaces it."""
+    system, path = store(folder)
+    system.create_dir(path, recursive=True)
+    own = f"{path}/_{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own, compression=None) as f:
+        f.write(content)
+    system.move(own, f"{path}/{name}")
+    return f"{folder}/{name}"
