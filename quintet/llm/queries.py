@@ -5,14 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quintet.llm import chat, mixing, simhash, warc
+from quintet.llm import chat, decontaminate, mixing, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_sha256(F.col("items")).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,8 +40,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash, op7_warc, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_simhash, op7_warc, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": warc.WARC_SQL, "op9_chat": chat.CHAT_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op1_decontaminate": decontaminate.DECONTAMINATE_SQL, "op7_warc": warc.WARC_SQL, "op9_chat": chat.CHAT_SQL, "op10_mixing": mixing.MIX_SQL}
