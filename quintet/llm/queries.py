@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintet.llm import chat, decontaminate, mixing, simhash, warc
+from quintet.llm import chat, decontaminate, mixing, simhash, tokens, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.read_tokens(spark, *tokens.write_tokens(table(spark, sf_dir, "documents")))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_pages(table(spark, sf_dir, "pages"))
     return warc.read_pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -40,7 +44,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op4_simhash, op7_warc, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op4_simhash, op5_tokens, op7_warc, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
