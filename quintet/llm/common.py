@@ -49,7 +49,7 @@ def tune_arrow(spark: SparkSession, records: int = 1000) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate; for a file scan, the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
