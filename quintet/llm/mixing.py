@@ -1,10 +1,11 @@
 """Mixing sources to target weights by hash order and distributed prefix sums; DataFrame operations only.
 
 A document's key is the MD5 of its id and a seed, so reruns agree. Keys cut
-the unit interval of each source in ranges of about ``rows_each`` documents
-(more ranges for a larger source, so a hot one is split as well). Ranges are
+the unit interval of each source in ranges, about ``ranges`` in all and more
+for a larger source, so a hot one is split as well. Ranges are
 sorted on their own; the words before a range are a prefix sum over ranges,
-those before a document one within its range.
+those before a document one within its range. Sizes and keys are written to
+the shared folder once, as three steps read them.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quintet.llm.common import SPACE_WORD
+from quintet.llm.common import SPACE_WORD, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-ROWS_EACH = 20_000
+#: Ranges of keys over all sources, about; the table of their sums has a row for each.
+RANGES = 16_384
 
 
 def n_words(text: Column) -> Column:
@@ -27,7 +29,7 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """``(source, source_size, n_docs, target)``: words that each source is to give; one row for each source.
+    """``(source, source_size, n_docs, all_docs, target)``: words that each source is to give; one row for each source.
 
     ``share`` of all words goes to the sources by weight (given in turn to the
     sources by code point, null last), no source over ``cap`` times its size.
@@ -45,10 +47,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     # the first source, in this order, that the level does not fill sets the level of all after it
     level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("most"), F.struct(F.col("most") / F.col("weight"), F.col("source").isNull(), "source", F.col("level").alias("level")))).over(whole)
     reached = F.coalesce(level["level"] * F.col("weight"), F.col("most").cast("double"))
-    return per.select("source", "source_size", "n_docs", F.least(reached, F.col("most").cast("double")).alias("target"))
+    return per.select("source", "source_size", "n_docs", F.sum("n_docs").over(whole).alias("all_docs"), F.least(reached, F.col("most").cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "", rows_each: int = ROWS_EACH, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = "", ranges: int = RANGES, whole_documents: bool = False, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every row of ``docs``.
 
     taken is the number of words the mix takes: every whole epoch of the source
@@ -63,11 +65,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sized = sized.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     goal = targets(sized, weights, share, cap)
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"]), "inner").drop(goal["source"]).withColumn("bucket", F.floor(at * F.ceil(F.col("n_docs") / rows_each)).cast("long"))
+    placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"]), "inner").drop(goal["source"]).withColumn("bucket", F.floor(at * F.ceil(F.col("n_docs") * F.lit(float(ranges)) / F.col("all_docs"))).cast("long"))
     own = W.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    ranges = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(ranges), F.lit(0)).alias("before"))
+    earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
     run = placed.withColumn("within", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     run = run.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     goal_words = F.floor("target")
