@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintet.llm import chat, decontaminate, html, mixing, simhash, tokens, toxicity, warc
+from quintet.llm import chat, decontaminate, hamming, html, mixing, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, *tokens.write_tokens(table(spark, sf_dir, "documents")))
 
 
+def op6_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_pages(table(spark, sf_dir, "pages"))
     return warc.read_pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,8 +57,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_html, op4_simhash, op5_tokens, op7_warc, op8_toxicity, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_html, op4_simhash, op5_tokens, op6_hamming, op7_warc, op8_toxicity, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.DECONTAMINATE_SQL, "op7_warc": warc.WARC_SQL, "op9_chat": chat.CHAT_SQL, "op10_mixing": mixing.MIX_SQL}
+    return {"op1_decontaminate": decontaminate.DECONTAMINATE_SQL, "op6_hamming": hamming.TOP_K_SQL, "op7_warc": warc.WARC_SQL, "op9_chat": chat.CHAT_SQL, "op10_mixing": mixing.MIX_SQL}
