@@ -127,8 +127,38 @@ def _blocks(benchmark: DataFrame, window: int, block_bytes: int) -> Iterator[Phr
         yield Phrases(held, window)
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(doc_id, n_words, n_hit, items, spans)`` for every row of ``docs``, and its columns ``keep``.
+def _send(benchmark: DataFrame, window: int, block_bytes: int, item_col: str, text_col: str):
+    """Broadcasts of the blocks; a function that gives a worker one block after another."""
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(text_col).cast("string").cast("binary"))
+    sent = [benchmark.sparkSession.sparkContext.broadcast(p) for p in _blocks(rows, window, block_bytes)]
+
+    def phrases() -> Iterator[Phrases]:
+        for b in sent:
+            yield b.value
+            if len(sent) > 1:
+                b.__dict__.pop("_value", None)  # read again for the next shard, rather than held
+        if not sent:
+            yield Phrases([])
+
+    return phrases
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together that make about one index."""
+    held, size = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            size += b.nbytes
+        if size >= 6 * SHARD:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_words, n_hit, items, spans)`` for every row of ``docs``.
 
     A phrase is ``window`` consecutive words of an item, or all words of a
     shorter one. ``items`` are the ids with a phrase in the document,
@@ -138,38 +168,30 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     items are sent out in blocks of ``block_bytes`` of text, and a shard's
     task holds one block at a time. Other columns are not read.
     """
-    spark = docs.sparkSession
-    tune_arrow(spark, 500)
-    sent = [spark.sparkContext.broadcast(p) for p in _blocks(benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string").cast("binary")), window, block_bytes)]
+    phrases = _send(benchmark, window, block_bytes, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def phrases() -> Iterator[Phrases]:
-            for b in sent:
-                yield b.value
-                if len(sent) > 1:
-                    b.__dict__.pop("_value", None)  # read again for the next shard, rather than held
-
-        def done(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            found = search(table.column(1).to_pylist(), phrases() if sent else [Phrases([])])
-            n, hit, items, spans = zip(*found, strict=True)
+        for t in _shards(batches):
+            n, hit, items, spans = zip(*search(t.column(1).to_pylist(), phrases()), strict=True)
             arrays = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
-            rest = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in table.columns[2:]]
-            return pa.RecordBatch.from_arrays([table.column(0).combine_chunks(), *arrays, *rest], ["doc_id", "n_words", "n_hit", "items", "spans", *keep])
-
-        held, size = [], 0
-        for b in batches:
-            if b.num_rows:
-                held.append(b)
-                size += b.nbytes
-            if size >= 6 * SHARD:
-                yield done(held)
-                held, size = [], 0
-        if held:
-            yield done(held)
-
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body"), *(F.col(c) for c in keep)).mapInArrow(run, SCHEMA + more)
+            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), *arrays], ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    tune_arrow(docs.sparkSession, 500)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body")).mapInArrow(run, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, one_in: int = ONE_IN, block_bytes: int = BLOCK_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all its columns, of which phrases hit less than one word in ``one_in``, or none."""
+    phrases = _send(benchmark, window, block_bytes, item_col, item_text_col)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _shards(batches):
+            found = search(t.column(at).cast(pa.binary()).to_pylist(), phrases())
+            yield from t.filter(pa.array([not hit or one_in * hit < n for n, hit, _, _ in found])).to_batches()
+
+    tune_arrow(docs.sparkSession, 500)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def contaminated(one_in: int = ONE_IN):

@@ -76,7 +76,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     epochs = F.when(F.col("source_size") > 0, F.floor(goal_words / F.col("source_size"))).otherwise(0)
     rest = goal_words - epochs * F.col("source_size") - F.col("before") - F.col("within")
     part = F.when(2 * rest > F.col("size"), F.col("size")).otherwise(0) if whole_documents else F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return run.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    columns = ["doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken")]
+    if whole_documents:
+        columns.append((epochs + F.when(2 * rest > F.col("size"), 1).otherwise(0)).cast("int").alias("copies"))
+    return run.select(*columns)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, with all its columns, as often as the mix takes them whole.
+
+    Rows that repeat an id, or have none, are taken alike, as often as the one of them taken most.
+    """
+    said = mix(docs, whole_documents=True, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    said = said.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    own = [docs[c] for c in docs.columns]
+    return docs.join(said, docs[id_col].cast("long").eqNullSafe(said["_id"])).select(*own, F.explode(F.sequence(F.lit(1), said["_copies"])).alias("_k")).drop("_k")
 
 
 #: DuckDB SQL of ``mix`` with its defaults.

@@ -218,3 +218,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     components = connected_components(edges)
     placed = codes.join(components, codes["id"] == components["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(placed, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all its columns, that have the smallest id of their component.
+
+    Of rows that repeat such an id one stays. Rows of a null id name no
+    document to keep or drop and stay.
+    """
+    found = materialize(near_duplicates(docs, id_col, text_col, **options), "components").where("doc_id is not null")
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(dropped, id_col, "left_anti").select(docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(kept.where(F.col(id_col).isNull()))

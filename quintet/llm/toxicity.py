@@ -181,3 +181,18 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     tune_arrow(docs.sparkSession, 500)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), *(F.col(c) for c in keep)).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean" + more)
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all its columns, that the model does not call toxic."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(m.at_least(np.array([m.score(t) for t in b.column(at).to_pylist()]))[:, 0] < 0.5))
+
+    tune_arrow(docs.sparkSession, 500)
+    return docs.mapInArrow(run, docs.schema)
