@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintet.llm import chat, decontaminate, hamming, html, mixing, simhash, tokens, toxicity, warc
+from quintet.llm import chat, decontaminate, hamming, html, mixing, passages, simhash, tokens, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_sha256(F.col("items")).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -57,7 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op3_html, op4_simhash, op5_tokens, op6_hamming, op7_warc, op8_toxicity, op9_chat, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_passages, op3_html, op4_simhash, op5_tokens, op6_hamming, op7_warc, op8_toxicity, op9_chat, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
