@@ -8,8 +8,10 @@ pre-tokenizer reaches over a piece's edge.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -36,14 +38,33 @@ _UNEVEN = re.compile(r"\s\s|[^\S \n]")
 _PIECE = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level tokenizer writes for each byte: itself if printable in Latin-1, else one from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class _Pieces(dict):
-    """Ids of ``prefix + piece`` as little-endian 32-bit numbers."""
+    """Ids of ``prefix + piece`` as little-endian 32-bit numbers.
+
+    Letters are one token of the pre-tokenizer, and punctuation after them another, so
+    the model takes them as they are; all else goes through the whole tokenizer.
+    """
 
-    def __init__(self, encode, prefix: str):
-        self.encode, self.prefix, self.missed = encode, prefix, 0
+    letters = str.maketrans(_byte_letters())
+
+    def __init__(self, tokenizer, prefix: str, marks: _Pieces | None = None):
+        self.tokenizer, self.model, self.prefix, self.marks, self.missed = tokenizer, tokenizer.model, prefix, marks, 0
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(self.prefix + piece), "<u4").tobytes()
+        word = piece.rstrip(string.punctuation)
+        if self.marks is None or not word.isalpha():
+            ids = np.array(self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
+        elif len(word) < len(piece):
+            ids = self[word] + self.marks[piece[len(word) :]]
+        else:
+            ids = np.array([t.id for t in self.model.tokenize((self.prefix + word).encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
                 self.missed += 1
@@ -56,22 +77,30 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """The ids of whole texts by a tokenizer file of the tokenizers library, without special tokens around them."""
+    """The ids of whole texts by a tokenizer file of the tokenizers library, without special tokens around them.
+
+    Texts are only cut in pieces for a byte-level BPE that neither normalises
+    nor adds a space; other tokenizers get them whole.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        said = json.loads(tokenizer.to_str())
+        before = said["pre_tokenizer"] or {}
+        self.cuts = said["model"]["type"] == "BPE" and not said["normalizer"] and before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before["use_regex"]
         self.whole = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        self.first, self.spaced, self.segments = _Pieces(self.whole, ""), _Pieces(self.whole, " "), _Pieces(self.whole, "")
-        self.line = self.first["\n"]
+        self.segments = _Pieces(tokenizer, "")
+        self.first = _Pieces(tokenizer, "", self.segments)
+        self.spaced = _Pieces(tokenizer, " ", self.segments)
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if not self.cuts or any(s in text for s in self.special):
             return np.array(self.whole(text), "<u4").tobytes()
         if _UNEVEN.search(text):
             return b"".join(map(self.segments.__getitem__, _PIECE.findall(text)))
@@ -79,7 +108,7 @@ class Encoder:
         for line in text.split("\n"):
             first, *more = line.split(" ")
             out.append(self.first[first] + b"".join(map(spaced, more)))
-        return self.line.join(out)
+        return self.segments["\n"].join(out)
 
 
 _encoders: dict[str, Encoder] = {}
