@@ -48,8 +48,12 @@ def tune_arrow(spark: SparkSession, records: int = 1000) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate; for a file scan, the size of the files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Catalyst's size estimate, for a file scan the size of the files; where it has none, the bytes of the texts."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 60:
+        return size
+    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return int(df.agg(F.sum(sum(texts, F.lit(0)))).first()[0] or 0)
 
 
 def partitions_for(df: DataFrame, bytes_each: int) -> int:
