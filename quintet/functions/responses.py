@@ -62,7 +62,7 @@ def human_bytes(x: Column) -> Column:
 def human_duration(ms: Column) -> Column:
     """Milliseconds as µs, ms, s or minutes and seconds."""
     ms = ms.cast("double")
-    minutes = F.format_string("%.0fm%.0fs", F.floor(ms / 60e3), F.floor((ms % 60e3) / 1e3))
+    minutes = F.format_string("%dm%ds", F.floor(ms / 60e3), F.floor((ms % 60e3) / 1e3))
     return F.when(ms < 1, F.format_string("%.2fµs", ms * 1e3)).when(ms < 1e3, F.format_string("%.2fms", ms)).when(ms < 60e3, F.format_string("%.2fs", ms / 1e3)).otherwise(minutes)
 
 

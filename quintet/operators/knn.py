@@ -27,6 +27,8 @@ BROADCAST_ROWS = 4_000_000
 #: References of a chunk at most, about.
 CHUNK_ROWS = 50_000
 BATCH = 2_000
+#: Requests of fewer bytes, by Catalyst's estimate, may lie in few partitions and are spread over all cores.
+SPREAD_BYTES = 1 << 30
 NEIGHBOURS = "qid long, rn int, ref_id long, distance long, label int"
 
 
@@ -61,6 +63,8 @@ def broadcast_neighbours(queries: DataFrame, refs: DataFrame, k: int = K, column
                 yield _rows(sent.value, s.column("qid").to_numpy(), _matrix(s, columns), k)
 
     rows = queries.select("qid", *columns)
+    if int(queries._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SPREAD_BYTES:
+        rows = rows.repartition(2 * queries.sparkSession.sparkContext.defaultParallelism)
     return rows.mapInArrow(run, NEIGHBOURS)
 
 

@@ -118,6 +118,11 @@ def write_rules(rules: DataFrame, path: str) -> None:
     rules.coalesce(1).write.mode("overwrite").json(path)
 
 
+def write_result(row: DataFrame, path: str) -> None:
+    """An evaluation's one row as a JSON file."""
+    row.coalesce(1).write.mode("overwrite").json(path)
+
+
 def requests_from_events(events: DataFrame) -> DataFrame:
     """Transactions made of the ``events`` table: event_id, the parts of a request, and label (1 for an error event).
 

@@ -3,6 +3,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from quintet.functions import responses as rs
 from quintet.functions.features import DIMS, Q
 from quintet.operators import calibrate as cal
 from quintet.operators import evaluate as ev
@@ -108,3 +111,25 @@ def test_summaries(spark):
     assert ev.summary(rows, "trend", "v").first()["med"] == 4.0
     xml = ev.junit(ev.checks(rows, {"a<b": rows["good"], "all": rows["v"] > 0})).first()["xml"]
     assert 'name="a&lt;b"' in xml and 'failures="1"' in xml
+
+
+def test_indexes_are_written(spark, tmp_path):
+    refs = table(spark, 300, 8)
+    ix.build_index(spark, refs, str(tmp_path / "kd"))
+    back = spark.read.parquet(str(tmp_path / "kd/refs"))
+    assert back.count() == 300 and {"leaf", "part", *Q} <= set(back.columns)
+    assert spark.read.parquet(str(tmp_path / "kd/partitions")).count() == 3
+    ix.build_index(spark, refs, str(tmp_path / "ivf"), kind="ivf", clusters=4)
+    boxes = spark.read.parquet(str(tmp_path / "ivf/boxes"))
+    assert boxes.agg({"n": "sum"}).first()[0] == 300 and "block_off" in boxes.columns
+    with pytest.raises(ValueError):
+        ix.build_index(spark, refs, str(tmp_path / "x"), kind="other")
+
+
+def test_formats(spark):
+    row = spark.createDataFrame([(999.0, 1500.0, 2.5e6, 0.5, 12.345, 75_000.0)], "a double, b double, c double, d double, e double, f double").select(
+        rs.human_bytes(F.col("a")).alias("b0"), rs.human_bytes(F.col("b")).alias("b1"), rs.human_bytes(F.col("c")).alias("b2"),
+        rs.human_duration(F.col("d")).alias("t0"), rs.human_duration(F.col("e")).alias("t1"), rs.human_duration(F.col("f")).alias("t2"),
+        rs.trimmed_fixed(F.col("b")).alias("n0"), rs.trimmed_fixed(F.col("d")).alias("n1"), rs.percent_floor(F.lit(2), F.lit(3)).alias("p"),
+    ).first()
+    assert tuple(row) == ("999 B", "1.5 kB", "2.5 MB", "500.00µs", "12.35ms", "1m15s", "1500", "0.5", 66.66)
