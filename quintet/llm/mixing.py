@@ -63,6 +63,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
     sized = sized.withColumn("key", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    sized = materialize(sized, "sizes")
     goal = targets(sized, weights, share, cap)
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"]), "inner").drop(goal["source"]).withColumn("bucket", F.floor(at * F.ceil(F.col("n_docs") * F.lit(float(ranges)) / F.col("all_docs"))).cast("long"))
@@ -89,8 +90,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     said = mix(docs, whole_documents=True, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     said = said.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    own = [docs[c] for c in docs.columns]
-    return docs.join(said, docs[id_col].cast("long").eqNullSafe(said["_id"])).select(*own, F.explode(F.sequence(F.lit(1), said["_copies"])).alias("_k")).drop("_k")
+    own, extra = [docs[c] for c in docs.columns], "_".join(["", *docs.columns])
+    return docs.join(said, docs[id_col].cast("long").eqNullSafe(said["_id"])).select(*own, F.explode(F.sequence(F.lit(1), said["_copies"])).alias(extra)).drop(extra)
 
 
 #: DuckDB SQL of ``mix`` with its defaults.
