@@ -71,18 +71,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """``(node, component)`` for every node of ``edges(u, v)``; component is the smallest node reachable.
 
     Alternating large-star and small-star rounds. A node's smallest neighbour
-    is an aggregate with a map-side part, and the join that hands it out is
-    one whose hot keys Spark can split, so a hub's edges are never gathered.
-    Each round is written to the shared folder; rounds are about the logarithm
-    of the longest path. Null ends and self loops are ignored.
+    is an aggregate with a map-side part; it is written out, so the join that
+    hands it to the node's edges has a shuffle of its own, whose hot keys
+    Spark can split, or none: a hub's edges are never gathered. Each round is
+    written to the shared folder; rounds are about the logarithm of the
+    longest path. Null ends and self loops are ignored.
     """
     spark = edges.sparkSession
     kind = edges.schema["u"].dataType
     path = new_dir(spark, "cc")
 
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(T.StructType([T.StructField(c, kind) for c in df.columns])).parquet(f"{path}/{name}")
+
     def put(df: DataFrame, k: int) -> tuple[DataFrame, tuple]:
-        df.write.parquet(f"{path}/{k}")
-        back = spark.read.schema(T.StructType([T.StructField("u", kind), T.StructField("v", kind)])).parquet(f"{path}/{k}")
+        back = kept(df, str(k))
         mark = back.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         return back, tuple(mark)
 
@@ -92,12 +96,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if not mark[0]:
             break
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{k}-around")
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = kept(large, f"{k}-large")
+        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), f"{k}-below")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after, said = put(small.union(least.select("u", F.col("m").alias("v"))).distinct(), k)
-        drop_dir(spark, f"{path}/{k - 1}")
+        for old in (f"{k - 1}", f"{k}-around", f"{k}-large", f"{k}-below"):
+            drop_dir(spark, f"{path}/{old}")
         now, done, mark = after, said == mark, said
         if done:
             break
