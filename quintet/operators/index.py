@@ -104,12 +104,14 @@ def cluster_boxes(assigned: DataFrame) -> DataFrame:
 
 
 def probe_rank(queries: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
-    """``(qid, rank, cluster, d_centroid)``: each query's nearest centroids."""
+    """``(qid, rank, cluster, d_centroid)``: each query's nearest centroids, of ``BROADCAST_CENTROIDS`` at most."""
+    if centroids.limit(BROADCAST_CENTROIDS + 1).count() > BROADCAST_CENTROIDS:
+        raise ValueError(f"over {BROADCAST_CENTROIDS} centroids")
     total = None
     for i, q in enumerate(Q):
         d = F.col(q).cast("long") - F.col(f"c{i}").cast("long")
         total = d * d if total is None else total + d * d
-    pairs = queries.crossJoin(F.broadcast(centroids.limit(BROADCAST_CENTROIDS))).select("qid", "cluster", total.alias("d_centroid"))
+    pairs = queries.crossJoin(F.broadcast(centroids)).select("qid", "cluster", total.alias("d_centroid"))
     rn = F.row_number().over(W.partitionBy("qid").orderBy("d_centroid", "cluster"))
     return pairs.withColumn("rank", rn.cast("int")).where(F.col("rank") <= most).select("qid", "rank", "cluster", "d_centroid")
 

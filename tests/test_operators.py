@@ -133,3 +133,12 @@ def test_formats(spark):
         rs.trimmed_fixed(F.col("b")).alias("n0"), rs.trimmed_fixed(F.col("d")).alias("n1"), rs.percent_floor(F.lit(2), F.lit(3)).alias("p"),
     ).first()
     assert tuple(row) == ("999 B", "1.5 kB", "2.5 MB", "500.00µs", "12.35ms", "1m15s", "1500", "0.5", 66.66)
+
+
+def test_probe_rank_refuses_what_it_cannot_send(spark, monkeypatch):
+    monkeypatch.setattr(ix, "BROADCAST_CENTROIDS", 3)
+    rows = lambda n, name, c: spark.createDataFrame([(i, *[i] * DIMS) for i in range(n)], f"{name} long, " + ", ".join(f"{x} int" for x in c))
+    queries, columns = rows(2, "qid", Q), [f"c{i}" for i in range(DIMS)]
+    with pytest.raises(ValueError):
+        ix.probe_rank(queries, rows(4, "cluster", columns), 2)
+    assert ix.probe_rank(queries, rows(3, "cluster", columns), 2).count() == 4
