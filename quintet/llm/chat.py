@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quintet.llm.common import tune_arrow
+from quintet.llm.common import by_bytes
 from quintet.llm.template import _text, compile_template
 
 TURN, END, NAME = "<turn>", "</turn>\n", "### "
@@ -77,7 +77,7 @@ def read_turns(parts: Iterator[str]) -> Iterator[tuple[str, str]]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for b in batches:
+    for b in by_bytes(batches):
         yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
 
 
@@ -122,7 +122,6 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, part_chars:
         if out:
             yield flush()
 
-    tune_arrow(rows.sparkSession)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, SCHEMA)

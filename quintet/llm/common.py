@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,9 +44,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def tune_arrow(spark: SparkSession, records: int = 1000) -> None:
-    """Batches for Python of so many rows, so that whole long texts fit in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+def by_bytes(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many bytes, or of one row, as views of those that Spark sends (which it bounds itself, to 64 MB or a row)."""
+    for b in batches:
+        if b.nbytes <= most or b.num_rows <= 1:
+            yield b
+        else:
+            half = b.num_rows // 2
+            yield from by_bytes(iter((b.slice(0, half), b.slice(half))), most)
 
 
 def input_bytes(df: DataFrame) -> int:

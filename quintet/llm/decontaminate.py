@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quintet.llm.common import ASCII_LOWER, tune_arrow
+from quintet.llm.common import ASCII_LOWER, by_bytes
 from quintet.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -146,7 +146,7 @@ def _send(benchmark: DataFrame, window: int, block_bytes: int, item_col: str, te
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Batches together that make about one index."""
     held, size = [], 0
-    for b in batches:
+    for b in by_bytes(batches):
         if b.num_rows:
             held.append(b)
             size += b.nbytes
@@ -176,7 +176,6 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             arrays = [pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array([[{"start": a, "stop": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), *arrays], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
-    tune_arrow(docs.sparkSession, 500)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("body")).mapInArrow(run, SCHEMA)
 
 
@@ -190,7 +189,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
             found = search(t.column(at).cast(pa.binary()).to_pylist(), phrases())
             yield from t.filter(pa.array([not hit or one_in * hit < n for n, hit, _, _ in found])).to_batches()
 
-    tune_arrow(docs.sparkSession, 500)
     return docs.mapInArrow(run, docs.schema)
 
 

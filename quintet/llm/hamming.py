@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quintet.llm.common import materialize, new_dir, tune_arrow
+from quintet.llm.common import materialize, new_dir
 
 K = 10
 EVERY = 50
@@ -48,7 +48,6 @@ def sign_codes(vectors: DataFrame, bits: int = 64, id_col: str = "vec_id", vecto
             data = np.packbits(out, axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in data], pa.binary())], ["vec_id", "code"])
 
-    tune_arrow(vectors.sparkSession, 10_000)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null and v is not null")
     return rows.mapInArrow(run, "vec_id long, code binary")
 
@@ -179,7 +178,6 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = 64, qu
             if held:
                 yield shard(held)
 
-        tune_arrow(spark, 10_000)
         codes.mapInArrow(run, schema).write.mode("append").parquet(path)
 
     block: list[tuple[int, bytes]] = []

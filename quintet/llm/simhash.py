@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quintet.llm.common import ASCII_LOWER, connected_components, materialize, tune_arrow
+from quintet.llm.common import ASCII_LOWER, connected_components, materialize, by_bytes
 
 SEED = 42
 SHINGLE = 4
@@ -55,11 +55,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``(doc_id, fp)`` of every row, fp as a signed long; a null text has no words and fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
-    tune_arrow(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -195,7 +194,6 @@ def fingerprint_links(codes: DataFrame, budget: int = BUDGET, blocks: int | None
         if held:
             yield from ready(True)
 
-    tune_arrow(codes.sparkSession, 10_000)
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
 

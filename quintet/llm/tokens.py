@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quintet.llm import rans
-from quintet.llm.common import new_dir, partitions_for, put_file, tune_arrow
+from quintet.llm.common import new_dir, partitions_for, put_file, by_bytes
 
 END_ID = 2
 #: Tokens of a file, about; and input bytes of a range.
@@ -138,7 +138,6 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
     path = path or default_path()
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "tokens")
-    tune_arrow(spark, 500)
     n = partitions_for(docs, range_bytes)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
@@ -204,6 +203,5 @@ def read_tokens(spark, folder: str, before: dict[str, int], with_ids: bool = Fal
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(tokens.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    tune_arrow(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)

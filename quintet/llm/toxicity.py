@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quintet.llm.common import materialize, tune_arrow
+from quintet.llm.common import materialize, by_bytes
 
 #: Labelled rows that the model is fitted on at most, those with the least hash of their id.
 TRAIN_ROWS = 12_000
@@ -128,13 +128,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, mode
     the model has no weights.
     """
     spark = docs.sparkSession
-    tune_arrow(spark, 500)
     sample = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) != 0).cast("int").alias("toxic")).dropna().dropDuplicates(["id"])
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"])
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             found = [features(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(f) for f in found], pa.list_(pa.string())), pa.array([list(f.values()) for f in found], pa.list_(pa.float64()))], ["id", "toxic", "names", "vals"])
 
@@ -150,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, mode
     sent = spark.sparkContext.broadcast(set(marks))
 
     def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches):
             kept = [[(f, v) for f, v in zip(fs, vs, strict=True) if f in sent.value] for fs, vs in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[f for f, _ in k] for k in kept], pa.list_(pa.string())), pa.array([[v for _, v in k] for k in kept], pa.list_(pa.float64()))], ["id", "toxic", "names", "vals"])
 
@@ -172,13 +171,12 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in by_bytes(batches):
             above = m.at_least(np.array([m.score(t) for t in b.column(1).to_pylist()]))
             each = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
             arrays = [pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32) if len(each) else np.zeros(0, np.int32)), pa.array(above[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays, *b.columns[2:]], ["doc_id", "expected_severity", "grade", "toxic", *keep])
 
-    tune_arrow(docs.sparkSession, 500)
     more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), *(F.col(c) for c in keep)).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean" + more)
 
@@ -190,9 +188,8 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for b in batches:
+        for b in by_bytes(batches):
             if b.num_rows:
                 yield b.filter(pa.array(m.at_least(np.array([m.score(t) for t in b.column(at).to_pylist()]))[:, 0] < 0.5))
 
-    tune_arrow(docs.sparkSession, 500)
     return docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quintet.llm.common import new_dir, put_file, tune_arrow
+from quintet.llm.common import new_dir, put_file, by_bytes
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -153,7 +153,6 @@ def write_pages(pages: DataFrame, least_bytes: int = 0, level: int = 4, id_col:
     id by a join on the digest, which Spark splits where a payload is hot.
     """
     spark = pages.sparkSession
-    tune_arrow(spark, 256)
     folder = folder or new_dir(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.when(F.length("payload") >= least_bytes, F.col("digest")))
@@ -163,7 +162,7 @@ def write_pages(pages: DataFrame, least_bytes: int = 0, level: int = 4, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, n, held = TaskContext.get().partitionId(), 0, 0, bytearray()
         info = encode_record("warcinfo", [("WARC-Record-ID", "<urn:quintet:info>"), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n", level)
-        for b in batches:
+        for b in by_bytes(batches):
             for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held += (b"" if held else info) + page_record(page_id, url, payload, refers_to, level)
                 n += 1
@@ -200,7 +199,6 @@ def read_pages(spark, folder: str) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    tune_arrow(spark, 1)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content")
     return files.mapInArrow(run, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
