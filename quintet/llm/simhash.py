@@ -1,14 +1,13 @@
 """SimHash near-duplicates: fingerprints, and links between them by a binary trie self-join.
 
-Fingerprints are collapsed to one row each. Those that differ in at most
-``budget`` bits agree in at least ``blocks - budget`` of ``blocks`` blocks of
-bits, so every choice of that many blocks deals the fingerprints to
-buckets in which one choice at least brings each linked pair together. A
-bucket is a subtree of the binary trie of its fingerprints, sorted; the
-self-join walks pairs of nodes downwards at once, adds up differing bits and
-drops a pair of nodes when they exceed the budget. It keeps a spanning forest
-of what it finds, never all pairs. Components of the forests are joined over
-all buckets.
+Fingerprints are collapsed to one row each. The self-join of their binary trie walks pairs of nodes downwards
+at once, adds up differing bits, and drops a pair of nodes when they exceed the budget. Two
+fingerprints within the budget agree in all bits of ``blocks - budget`` of ``blocks`` blocks at least. So there
+is a trie for each choice of that many blocks, over the bits in an order that has the chosen blocks first, and its walk
+allows no error within these: only pairs of a node with itself come through, and are dealt to tasks. A pair of nodes with too many
+fingerprints for a task is walked further down in Spark, four bits a step, and the pairs of nodes below it within the
+budget are dealt instead. Tasks walk the pairs they get down to single fingerprints. They keep a
+spanning forest of what they find, never all pairs; the components of the forests are joined.
 """
 
 from __future__ import annotations
@@ -27,10 +26,11 @@ from quintet.llm.common import ASCII_LOWER, connected_components, materialize, b
 SEED = 42
 SHINGLE = 4
 BUDGET = 4
-#: Fingerprints of one bucket that one task compares; larger buckets are split in chunks, and pairs of chunks compared.
-BUCKET_ROWS = 20_000
+#: Fingerprints of one pair of nodes that a task walks; beyond that Spark walks down, so many bits a step.
+NODE_ROWS = 20_000
+STEP = 4
 #: Node pairs that the walk holds at once.
-FRONTIER = 1 << 19
+FRONTIER = 1 << 17
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE = (np.arange(8) * 256).astype(np.int64)
@@ -73,29 +73,36 @@ def _verify(codes: np.ndarray, la, ha, lb, hb, budget: int) -> tuple[np.ndarray,
     return i[keep], j[keep]
 
 
-def trie_self_join(codes: np.ndarray, groups: np.ndarray, budget: int, leaf: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j of one group whose codes differ in at most ``budget`` bits, in chunks.
+def trie_self_join(codes: np.ndarray, nodes: tuple[np.ndarray, ...], depth: int, budget: int, leaf: int = 1, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of codes that differ in at most ``budget`` bits, in chunks, below the given pairs of nodes.
 
-    ``codes`` (uint64) are sorted by group and code; a trie node is a range of
-    them, and the zeros of its next bit come before its ones. Node pairs of at
-    most ``leaf`` code pairs are compared at once.
+    A node is a range of ``codes`` (uint64) that is sorted and agrees in its first ``depth`` bits; ``nodes`` are begins and ends of
+    first and second ones, where a pair of equal ranges is a node with itself. The zeros of a node's next bit come before its ones.
+    Pairs of at most ``leaf`` code pairs are compared by whole codes. With ``label``, which the caller brings up to date,
+    pairs of nodes whose codes all have one label are dropped too, so a dense cluster isn't walked pair by pair.
     """
     n = len(codes)
-    if not n:
+    if not n or not len(nodes[0]):
         return
-    cut = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
-    lo, hi = cut, np.concatenate((cut[1:], [n]))
-    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int8))]
+    la, ha, lb, hb = nodes
+    e = np.bitwise_count((codes[la] ^ codes[lb]) >> np.uint64(64 - depth)).astype(np.int8) if depth else np.zeros(len(la), np.int8)
+    keep = (e <= budget) & ((la != lb) | (ha - la > 1))
+    stack = [(depth, *(x[keep] for x in (la, ha, lb, hb, e)))]
     ones: dict[int, np.ndarray] = {}
     while stack:
         d, la, ha, lb, hb, e = stack.pop()
-        small = ((ha - la) * (hb - lb) <= leaf) | (d == 64)
-        for part in np.array_split(np.flatnonzero(small), max(1, int(((ha - la) * (hb - lb))[small].sum()) // FRONTIER + 1)):
+        if label is not None and len(la) >= FRONTIER >> 4:
+            other = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+            apart = (other[la] != other[ha - 1]) | (other[lb] != other[hb - 1]) | (label[la] != label[lb])
+            la, ha, lb, hb, e = (x[apart] for x in (la, ha, lb, hb, e))
+        size = (ha - la) * (hb - lb)
+        small = (size <= leaf) | (d == 64)
+        for part in np.array_split(np.flatnonzero(small), max(1, int(size[small].sum()) // FRONTIER + 1)):
             if len(part):
                 yield _verify(codes, la[part], ha[part], lb[part], hb[part], budget)
-        if small.all():
-            continue
         la, ha, lb, hb, e = (x[~small] for x in (la, ha, lb, hb, e))
+        if not len(la):
+            continue
         if len(la) > FRONTIER:
             h = len(la) // 2
             stack += [(d, la[:h], ha[:h], lb[:h], hb[:h], e[:h]), (d, la[h:], ha[h:], lb[h:], hb[h:], e[h:])]
@@ -103,11 +110,11 @@ def trie_self_join(codes: np.ndarray, groups: np.ndarray, budget: int, leaf: int
         if d not in ones:
             ones[d] = np.concatenate(([0], np.cumsum((codes >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)))
         c = ones[d]
-        ma, mb, own = ha - (c[ha] - c[la]), hb - (c[hb] - c[lb]), la == lb
+        ma, mb, own = ha - (c[ha] - c[la]), hb - (c[hb] - c[lb]), (la == lb) & (ha == hb)
         far = e + np.int8(1)
         quads = ((la, ma, lb, mb, e), (ma, ha, mb, hb, e), (la, ma, mb, hb, far), (ma[~own], ha[~own], lb[~own], mb[~own], far[~own]))
         la, ha, lb, hb, e = (np.concatenate(x) for x in zip(*quads, strict=True))
-        keep = (ha > la) & (hb > lb) & (e <= budget)
+        keep = (ha > la) & (hb > lb) & (e <= budget) & ((la != lb) | (ha - la > 1))
         stack.append((d + 1, *(x[keep] for x in (la, ha, lb, hb, e))))
 
 
@@ -124,81 +131,123 @@ def _hook(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
             label[:] = up
 
 
-def trie_links(groups: np.ndarray, codes: np.ndarray, ids: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within each group, as pairs of ids."""
-    order = np.lexsort((codes, groups))
-    groups, codes, ids = groups[order], codes[order], ids[order]
-    label = np.arange(len(codes))
-    for i, j in trie_self_join(codes, groups, budget):
+def trie_links(pairs: np.ndarray, sides: np.ndarray, codes: np.ndarray, ids: np.ndarray, depth: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links of pairs of nodes, as pairs of ids.
+
+    Each code has the pair of nodes it is in, and its side: 1 or 2, or 0 if the pair is one node with itself.
+    """
+    order = np.lexsort((codes, sides, pairs))
+    pairs, sides, codes, ids = pairs[order], sides[order], codes[order], ids[order]
+    n = len(codes)
+    start = np.flatnonzero(np.concatenate(([True], (pairs[1:] != pairs[:-1]) | (sides[1:] != sides[:-1])))) if n else np.zeros(0, np.int64)
+    stop = np.concatenate((start[1:], [n]))[: len(start)]
+    self_ = np.flatnonzero(sides[start] == 0)
+    first = np.flatnonzero((sides[start[:-1]] == 1) & (sides[start[1:]] == 2) & (pairs[start[:-1]] == pairs[start[1:]])) if n else self_
+    a, b = np.concatenate((self_, first)), np.concatenate((self_, first + 1))
+    label = np.arange(n)
+    for i, j in trie_self_join(codes, (start[a], stop[a], start[b], stop[b]), depth, budget, label=label):
         _hook(label, i, j)
-    child = np.flatnonzero(label != np.arange(len(label)))
+    child = np.flatnonzero(label != np.arange(n))
     return ids[child], ids[label[child]]
 
 
 def blocks_for(n: int, budget: int = BUDGET) -> int:
-    """Blocks so that a bucket of evenly spread fingerprints has about a thousand rows at most, or budget + 4."""
+    """Blocks so that a node behind the chosen ones has about 500 evenly spread fingerprints at most, or budget + 4."""
     for m in range(budget + 1, budget + 4):
-        if n >> (64 // m * (m - budget)) <= 1000:
+        if n >> (64 // m * (m - budget)) <= 500:
             return m
     return budget + 4
 
 
-def _bucket_keys(code: Column, blocks: int, budget: int) -> Column:
-    """For every choice of blocks that differ in nothing, a key of the choice and their bits."""
+def _tries(code: Column, blocks: int, budget: int) -> tuple[Column, int]:
+    """For every choice of blocks its number, the code with these blocks' bits first, and how many they are; the least of these."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    chosen = [sum(masks[x] for x in c) for c in combinations(range(blocks), blocks - budget)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    return F.array(*(F.struct(F.lit(k).alias("choice"), code.bitwiseAND(F.lit(m).cast("long")).alias("bits")) for k, m in enumerate(signed)))
-
-
-def fingerprint_links(codes: DataFrame, budget: int = BUDGET, blocks: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    spans = list(zip(edges, edges[1:], strict=False))
+    out, least = [], 64
+    for k, chosen in enumerate(combinations(range(blocks), blocks - budget)):
+        turned, at = F.lit(0).cast("long"), 64
+        for x in [*chosen, *(x for x in range(blocks) if x not in chosen)]:
+            a, e = spans[x]
+            at -= e - a
+            turned = turned.bitwiseOR(F.shiftleft(F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (e - a)) - 1).cast("long")), at))
+        first = sum(spans[x][1] - spans[x][0] for x in chosen)
+        least = min(least, first)
+        out.append(F.struct(F.lit(k).alias("choice"), turned.alias("code"), F.lit(first).alias("depth")))
+    return F.array(*out), least
+
+
+def _walk_down(rows: DataFrame, node_rows: int) -> DataFrame:
+    """Pairs of nodes with over ``node_rows`` codes, replaced by the pairs of nodes below them within the budget, until none is so large.
+
+    ``rows(id, code, pair, side, depth, left)``: left is the budget that differing bits so far leave. A step goes down
+    ``STEP`` bits; pairs of which one side has no code are dropped. Only rows of large pairs are read again.
+    """
+    done = []
+    while True:
+        sizes = rows.groupBy("pair").agg(F.count("*").alias("n"), F.max("depth").alias("d"))
+        large = sizes.where((F.col("n") > node_rows) & (F.col("d") + STEP <= 64)).select("pair", F.lit(True).alias("large"))
+        if large.isEmpty():
+            break
+        marked = materialize(rows.join(large, "pair", "left"), "nodes")
+        done.append(marked.where("large is null").drop("large"))
+        rows = marked.where("large").drop("large").withColumn("x", F.expr(f"cast(shiftrightunsigned(code, {64 - STEP} - depth) & {(1 << STEP) - 1} as int)"))
+        rows = rows.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit((1 << STEP) - 1)))).withColumn("left", F.col("left") - F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where("left >= 0")
+        own = F.col("side") == 0
+        a = F.when(own, F.least("x", "y")).when(F.col("side") == 1, F.col("x")).otherwise(F.col("y"))
+        b = F.when(own, F.greatest("x", "y")).when(F.col("side") == 1, F.col("y")).otherwise(F.col("x"))
+        side = F.when(own & (F.col("x") == F.col("y")), 0).when(own, F.when(F.col("x") < F.col("y"), 1).otherwise(2)).otherwise(F.col("side"))
+        rows = rows.select("id", "code", F.xxhash64("pair", a, b).alias("pair"), side.cast("int").alias("side"), (F.col("depth") + STEP).alias("depth"), "left")
+        both = rows.groupBy("pair").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo = 0 or lo < hi").select("pair")
+        rows = materialize(rows.join(both, "pair", "left_semi").select(*rows.columns), "below")
+    for x in done:
+        rows = rows.unionByName(x)
+    return rows
+
+
+def fingerprint_links(codes: DataFrame, budget: int = BUDGET, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """Edges ``(u, v)`` of ids that span the same components as all pairs within ``budget`` bits.
 
-    ``codes(id, fp)`` has one row for each distinct fp. Buckets of over
-    ``bucket_rows`` rows are cut in chunks and each pair of chunks is one group.
+    ``codes(id, fp)`` has one row for each distinct fp. A fingerprint goes to one node for each choice of blocks,
+    and to more pairs of nodes only where a node has over ``node_rows``.
     """
     blocks = blocks or blocks_for(codes.count(), budget)
-    rows = codes.select("id", "fp", F.explode(_bucket_keys(F.col("fp"), blocks, budget)).alias("k")).select("id", "fp", "k.choice", "k.bits")
-    sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows)
-    if sizes.isEmpty():
-        rows = rows.select("id", "fp", F.xxhash64("choice", "bits").alias("grp"))
-    else:
-        parts = F.ceil(F.coalesce("n", F.lit(1)) / bucket_rows).cast("int")
-        rows = rows.join(sizes, ["choice", "bits"], "left").withColumn("s", parts).withColumn("c", F.pmod(F.xxhash64("fp"), F.col("s")).cast("int"))
-        rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-        rows = rows.select("id", "fp", F.xxhash64("choice", "bits", F.least("c", "o"), F.greatest("c", "o")).alias("grp"))
+    tries, depth = _tries(F.col("fp"), blocks, budget)
+    rows = codes.select("id", F.explode(tries).alias("t")).select("id", "t.*")
+    node = F.expr("shiftrightunsigned(code, 64 - depth)")
+    rows = rows.select("id", "code", F.xxhash64("choice", node).alias("pair"), F.lit(0).alias("side"), "depth", F.lit(budget).alias("left"))
+    rows = _walk_down(rows, node_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def links(table: pa.Table) -> pa.RecordBatch:
-            grp, fp, ids = (table.column(c).to_numpy() for c in ("grp", "fp", "id"))
-            u, v = trie_links(grp, fp.view(np.uint64), ids, budget)
+            pair, side, code, ids = (table.column(c).to_numpy() for c in ("pair", "side", "code", "id"))
+            u, v = trie_links(pair, side, code.view(np.uint64), ids, depth, budget)
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         def ready(last: bool) -> Iterator[pa.RecordBatch]:
-            """Whole groups of what is held; the last group may go on in the next batch."""
+            """Whole pairs of nodes of what is held; the last may go on in the next batch."""
             table = pa.Table.from_batches(held)
-            grp = table.column("grp").to_numpy()
-            end = len(grp) if last else int(np.flatnonzero(grp == grp[-1])[0])
-            held[:] = [] if end == len(grp) else table.slice(end).to_batches()
+            pair = table.column("pair").to_numpy()
+            end = len(pair) if last else int(np.flatnonzero(pair == pair[-1])[0])
+            held[:] = [] if end == len(pair) else table.slice(end).to_batches()
             if end:
                 yield links(table.slice(0, end))
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
-                if sum(x.num_rows for x in held) >= 4 * bucket_rows:
+                if sum(x.num_rows for x in held) >= 4 * NODE_ROWS:
                     yield from ready(False)
         if held:
             yield from ready(True)
 
     n = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "u long, v long")
+    rows = rows.select("id", "code", "pair", "side")
+    return rows.repartition(n, "pair").sortWithinPartitions("pair").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, blocks: int | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, blocks: int | None = None, node_rows: int = NODE_ROWS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
     component_id is the smallest doc_id that links of at most ``budget``
@@ -212,7 +261,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     codes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("id")), "codes")
     known = codes.where("id is not null")
-    edges = materialize(fingerprint_links(known, budget, blocks, bucket_rows), "links")
+    edges = materialize(fingerprint_links(known, budget, blocks, node_rows), "links")
     components = connected_components(edges)
     placed = codes.join(components, codes["id"] == components["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
     return fps.join(placed, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

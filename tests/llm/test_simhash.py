@@ -47,13 +47,50 @@ def test_trie_join_finds_every_pair():
     groups = np.arange(len(codes)) % 3
     order = np.lexsort((codes, groups))
     codes, groups = codes[order], groups[order]
+    cut = np.concatenate((np.flatnonzero(np.diff(groups, prepend=-1)), [len(codes)]))
+    own = (cut[:-1], cut[1:], cut[:-1], cut[1:])
     for leaf in (1, 48):
-        found = {(int(a), int(b)) for i, j in simhash.trie_self_join(codes, groups, 4, leaf) for a, b in zip(i, j)}
+        found = {(int(a), int(b)) for i, j in simhash.trie_self_join(codes, own, 0, 4, leaf) for a, b in zip(i, j)}
         want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if groups[i] == groups[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 4}
         assert found == want
 
 
-def test_components_equal_brute_force_with_any_blocks_and_split_buckets(spark):
+def test_the_walk_prunes_and_compares_few_pairs(monkeypatch):
+    rng = np.random.default_rng(4)
+    codes = np.sort(np.concatenate((rng.integers(0, 2**63, 3000, dtype=np.uint64), np.uint64(7) << rng.integers(0, 60, 500).astype(np.uint64))))
+    codes = np.unique(codes)
+    compared = []
+    verify = simhash._verify
+    monkeypatch.setattr(simhash, "_verify", lambda codes, la, ha, lb, hb, budget: compared.append(int(((ha - la) * (hb - lb)).sum())) or verify(codes, la, ha, lb, hb, budget))
+    zero, n = np.array([0]), np.array([len(codes)])
+    found = sum(len(i) for i, _ in simhash.trie_self_join(codes, (zero, n, zero, n), 0, 4))
+    x = codes[:, None] ^ codes
+    assert found == int((np.triu(np.bitwise_count(x), 1) + 99 * np.tri(len(codes)) <= 4).sum())
+    assert sum(compared) < len(codes) ** 2 / 4  # of half as many pairs
+
+
+def test_two_nodes_are_walked_together():
+    rng = np.random.default_rng(6)
+    codes = np.unique(np.concatenate([c ^ (np.uint64(1) << rng.integers(0, 64, 30).astype(np.uint64)) for c in rng.integers(0, 2**63, 30, dtype=np.uint64)]))
+    ids = np.arange(len(codes)) + 100
+    side = np.where(codes >> np.uint64(62) == 0, 1, 2)
+    u, v = simhash.trie_links(np.full(len(codes), 9), side, codes, ids, 0, 4)
+    want = {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if side[i] != side[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= 4}
+    items = [int(x) for x in ids]
+    got = {(int(a), int(b)) for a, b in zip(u, v)}
+    root = {i: i for i in items}
+
+    def parts(links):
+        root = {i: i for i in items}
+        for a, b in links:
+            p, q = root[a], root[b]
+            root = {k: min(p, q) if r in (p, q) else r for k, r in root.items()}
+        return root
+
+    assert parts(got) == parts({(i + 100, j + 100) for i, j in want}) and root
+
+
+def test_components_equal_brute_force_with_any_blocks_and_nodes_walked_down(spark):
     rng = random.Random(5)
     items = []
     for _ in range(60):
@@ -67,7 +104,7 @@ def test_components_equal_brute_force_with_any_blocks_and_split_buckets(spark):
     codes = spark.createDataFrame(signed, "id long, fp long")
     want = brute_components(items)
     for blocks, rows in ((5, 20_000), (6, 20_000), (7, 3), (5, 2)):
-        links = simhash.fingerprint_links(codes, blocks=blocks, bucket_rows=rows)
+        links = simhash.fingerprint_links(codes, blocks=blocks, node_rows=rows)
         got = {r.node: r.component for r in connected_components(links).collect()}
         assert {k: got.get(k, k) for k, _ in items} == want
 
