@@ -129,12 +129,21 @@ def distance(a: str, b: str) -> Column:
     return total
 
 
-def box_bound(a: str, box: str) -> Column:
-    """Least squared distance from the q columns of an alias to a box lo0..lo13, hi0..hi13."""
+def box_bound_of(box: Column) -> Column:
+    """Least squared distance from a row's q columns to a box, a struct of lo0..lo13, hi0..hi13."""
     total = None
     for i, q in enumerate(Q):
-        x = F.col(f"{a}.{q}").cast("int")
-        d = F.greatest(F.col(f"{box}.lo{i}").cast("int") - x, x - F.col(f"{box}.hi{i}").cast("int"), F.lit(0))
+        x = F.col(q).cast("int")
+        d = F.greatest(box[f"lo{i}"].cast("int") - x, x - box[f"hi{i}"].cast("int"), F.lit(0))
         d = (d * d).cast("long")
         total = d if total is None else total + d
     return total
+
+
+def float_distance(a: list[Column], b: list[Column]) -> Column:
+    """Squared distance of two lists of single-precision values, summed in double precision."""
+    total = F.lit(0.0)
+    for x, y in zip(a, b, strict=True):
+        d = x.cast("double") - y.cast("double")
+        total = total + d * d
+    return total

@@ -53,17 +53,59 @@ def trimmed_fixed(x: Column, digits: int = 2) -> Column:
     return F.regexp_replace(F.format_string(f"%.{digits}f", x.cast("double")), r"\.?0+$", "") if digits else F.format_string("%.0f", x.cast("double"))
 
 
+def trimmed_cut(x: Column, digits: int = 2) -> Column:
+    """The same, with further decimals cut off rather than rounded."""
+    x = x.cast("double") * 10**digits
+    return trimmed_fixed(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)) / float(10**digits), digits)
+
+
 def human_bytes(x: Column) -> Column:
-    """Bytes in steps of 1000, one decimal beyond kB."""
+    """Bytes in steps of 1000: whole below 10 B, then one decimal below 10 units and none from there on."""
     x = x.cast("double")
-    return F.when(x < 1e3, F.format_string("%.0f B", x)).when(x < 1e6, F.format_string("%.1f kB", x / 1e3)).when(x < 1e9, F.format_string("%.1f MB", x / 1e6)).otherwise(F.format_string("%.1f GB", x / 1e9))
+    out = F.concat(trimmed_fixed(x, 6), F.lit(" B"))
+    for e, unit in enumerate(("B", "kB", "MB", "GB", "TB", "PB", "EB", "ZB", "YB")):
+        value = F.floor(x / 1000.0**e * 10 + 0.5) / 10.0
+        shown = F.concat(F.when(value < 10, F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value)), F.lit(f" {unit}"))
+        out = F.when(x >= max(10.0, 1000.0**e), shown).otherwise(out)
+    return out
 
 
 def human_duration(ms: Column) -> Column:
-    """Milliseconds as µs, ms, s or minutes and seconds."""
+    """Milliseconds as ns, µs, ms, s, minutes or hours; decimals are cut off."""
     ms = ms.cast("double")
-    minutes = F.format_string("%dm%ds", F.floor(ms / 60e3), F.floor((ms % 60e3) / 1e3))
-    return F.when(ms < 1, F.format_string("%.2fµs", ms * 1e3)).when(ms < 1e3, F.format_string("%.2fms", ms)).when(ms < 60e3, F.format_string("%.2fs", ms / 1e3)).otherwise(minutes)
+    minutes = F.floor(ms / 60e3)
+    seconds = F.concat(trimmed_cut((ms % 60e3) / 1e3, 2), F.lit("s"))
+    whole = F.concat(trimmed_cut((ms % 60e3) / 1e3, 0), F.lit("s"))
+    long = F.concat(F.when(minutes >= 60, F.format_string("%dh", F.floor(minutes / 60))).otherwise(""), F.format_string("%dm", minutes % 60), F.when(ms > 60e3, whole).otherwise(seconds))
+    return (
+        F.when(ms == 0, "0s")
+        .when(ms < 1e-3, F.concat(trimmed_cut(ms * 1e6, 0), F.lit("ns")))
+        .when(ms < 1, F.concat(trimmed_cut(ms * 1e3), F.lit("µs")))
+        .when(ms < 1e3, F.concat(trimmed_cut(ms), F.lit("ms")))
+        .when(ms < 60e3, seconds)
+        .otherwise(long)
+    )
+
+
+def human_percent(share: Column) -> Column:
+    """A share as a percentage with two decimals, cut off."""
+    return F.concat(F.format_string("%.2f", F.floor(share.cast("double") * 1e4) / 100.0), F.lit("%"))
+
+
+def text_width(text: Column) -> Column:
+    """Characters shown of a text: escape sequences of terminals are not."""
+    return F.char_length(F.regexp_replace(text, "\\x1b(\\[[^\\x40-\\x7e]*[\\x40-\\x7e]|[\\x40-\\x5a\\x5c-\\x5f])", ""))
+
+
+def same_ascii(a: Column, b: Column) -> Column:
+    """Whether two texts are equal but for the case of A-Z; other letters are compared as they are."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(a, upper, lower) == F.translate(b, upper, lower)
+
+
+def route(request: Column) -> Column:
+    """``score``, ``ready`` or ``other`` by the start of a request's first line."""
+    return F.when(F.startswith(request, F.lit("POST /fraud-score")), "score").when(F.startswith(request, F.lit("GET /ready")), "ready").otherwise("other")
 
 
 def percent_floor(part: Column, whole: Column, digits: int = 2) -> Column:

@@ -1,22 +1,33 @@
-"""Building an index of references: clusters with layout and boxes, or a forest of median-split trees."""
+"""An index of references, built, written, opened and searched: clusters with layout and boxes, or a forest of median-split trees.
+
+A written index is a folder of Parquet tables: ``meta`` (kind, version, rows), ``refs`` with their cell, ``cells`` (boxes), and
+``boxes`` of leaves and ``partitions`` (kd) or ``centroids`` and ``boxes`` of clusters (ivf).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quintet.functions.features import DIMS, Q, partition_key, quantized
-from quintet.operators.kernel import Clusters
-from quintet.operators.knn import boxes
+from quintet.functions.responses import K, frauds_of
+from quintet.operators import knn
+from quintet.operators.kernel import split
+from quintet.operators.knn import CELL_ROWS, CELLS, Cells, best, boxes, go, search_cells, spread
+from quintet.sources.scratch import drop_dir, kept, scratch_dir
 
 # Fixed values of the builder.
 CLUSTERS, ITERATIONS, SAMPLE = 4096, 15, 500_000
 LANES, LEAF_MOST = 8, 128
+# Fixed values of the staged search: probes at first and in the first repair, and the distance under which a unanimous vote ends it.
+PROBES, REPAIR, EARLY, BORDER = 2, 32, 20_160_000, (1, 4)
+VERSION = 1
 #: Centroids that are sent to executors at most.
 BROADCAST_CENTROIDS = 100_000
 
@@ -30,38 +41,64 @@ def sample(refs: DataFrame, most: int = SAMPLE, seed: int = 42) -> DataFrame:
 
 
 def kmeans(refs: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, most: int = SAMPLE, seed: int = 42) -> DataFrame:
-    """``(cluster, c0..c13)``: quantised centroids of a bounded sample, by k-means|| and Lloyd iterations."""
+    """``(cluster, c0..c13)``: quantised centroids of a bounded sample, by k-means|| seeds and Lloyd iterations.
+
+    A cluster without members gets a row of the sample, another one in each iteration; so do seeds that are
+    missing, as where the sample has fewer distinct rows than k. Centroids come to the driver, k rows an iteration.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=Q, outputCol="features").transform(sample(refs, most, seed)).select("features").cache()
+    spark = refs.sparkSession
+    path = scratch_dir(spark, "sample")
+    rows = kept(sample(refs, most, seed).select("ref_id", *Q), "sample", path)
     try:
-        model = KMeans(k=k, maxIter=iterations, tol=0.0, seed=seed, initMode="k-means||").fit(rows)
+        model = KMeans(k=k, maxIter=0, tol=0.0, seed=seed, initMode="k-means||").fit(VectorAssembler(inputCols=Q, outputCol="features").transform(rows).select("features"))
+        centres = {i: [int(np.sign(x) * np.floor(abs(x) + 0.5)) for x in c] for i, c in enumerate(model.clusterCenters()[:k])}
+        for t in range(iterations + 1):
+            if missing := [i for i in range(k) if i not in centres]:
+                spare = rows.orderBy(F.xxhash64("ref_id", F.lit(seed + t)), "ref_id").limit(len(missing)).collect()
+                centres |= {i: [int(x) for x in r[1:]] for i, r in zip(missing, spare, strict=False)}
+            table = spark.createDataFrame([(i, *c) for i, c in sorted(centres.items())], "cluster int, " + ", ".join(f"c{i} int" for i in range(DIMS)))
+            if t < iterations:
+                centres = {x["cluster"]: [x[f"c{i}"] for i in range(DIMS)] for x in lloyd_step(assign(rows, table)).collect()}
     finally:
-        rows.unpersist()
-    centres = [(i, *(int(np.sign(x) * np.floor(abs(x) + 0.5)) for x in c)) for i, c in enumerate(model.clusterCenters())]
-    return refs.sparkSession.createDataFrame(centres, "cluster int, " + ", ".join(f"c{i} int" for i in range(DIMS)))
+        drop_dir(spark, path)
+    return table
 
 
-def assign(refs: DataFrame, centroids: DataFrame, most: int = BROADCAST_CENTROIDS) -> DataFrame:
-    """Add the cluster of the nearest centroid (the first of equals) and its squared distance.
-
-    Centroids are the model, at most ``most`` of them, and go to the executors whole.
-    """
+def _centroids(centroids: DataFrame, most: int) -> np.ndarray:
+    """Rows of cluster and centre, in order of cluster; raises ValueError for too many. They are the model, and go out whole."""
     rows = sorted(centroids.select("cluster", *(f"c{i}" for i in range(DIMS))).limit(most + 1).collect())
     if len(rows) > most:
         raise ValueError(f"over {most} centroids")
-    sent = refs.sparkSession.sparkContext.broadcast(np.array(rows, np.int64).reshape(-1, DIMS + 1))
+    return np.array(rows, np.int64).reshape(-1, DIMS + 1)
+
+
+def _to_centroids(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances of vectors to centroids, exact."""
+    x, c = x.astype(np.float64), c.astype(np.float64)
+    return np.rint((x * x).sum(1)[:, None] + (c * c).sum(1) - 2.0 * (x @ c.T)).astype(np.int64)
+
+
+def _vectors(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(q).to_numpy() for q in Q], axis=1)
+
+
+def assign(refs: DataFrame, centroids: DataFrame, most: int = BROADCAST_CENTROIDS) -> DataFrame:
+    """Add the cluster of the nearest centroid (the first of equals) and its squared distance, by one matrix product a batch."""
+    sent = refs.sparkSession.sparkContext.broadcast(_centroids(centroids, most))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, c = sent.value[:, 0], sent.value[:, 1:].astype(np.float64)
-        norm = (c * c).sum(1)
-        for b in batches:
-            x = np.stack([b.column(q).to_numpy() for q in Q], axis=1).astype(np.float64)
-            d = np.rint((x * x).sum(1)[:, None] + norm - 2.0 * (x @ c.T)).astype(np.int64)
-            at = d.argmin(1) if len(x) else np.zeros(0, np.int64)
-            out = [*b.columns, pa.array(name[at].astype(np.int32)), pa.array(d[np.arange(len(x)), at])]
-            yield pa.RecordBatch.from_arrays(out, [*b.schema.names, "cluster", "d_centroid"])
+        name, c = sent.value[:, 0], sent.value[:, 1:]
+        step = max(1, (4 << 20) // max(1, len(c)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                d = _to_centroids(_vectors(b), c)
+                at = d.argmin(1)
+                out = [*b.columns, pa.array(name[at].astype(np.int32)), pa.array(d[np.arange(len(d)), at])]
+                yield pa.RecordBatch.from_arrays(out, [*b.schema.names, "cluster", "d_centroid"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in refs.schema)
     return refs.mapInArrow(run, f"{kinds}, cluster int, d_centroid long")
@@ -103,88 +140,269 @@ def cluster_boxes(assigned: DataFrame) -> DataFrame:
     return boxes(assigned, "cluster")
 
 
-def probe_rank(queries: DataFrame, centroids: DataFrame, most: int) -> DataFrame:
-    """``(qid, rank, cluster, d_centroid)``: each query's nearest centroids, of ``BROADCAST_CENTROIDS`` at most."""
-    if centroids.limit(BROADCAST_CENTROIDS + 1).count() > BROADCAST_CENTROIDS:
-        raise ValueError(f"over {BROADCAST_CENTROIDS} centroids")
-    total = None
-    for i, q in enumerate(Q):
-        d = F.col(q).cast("long") - F.col(f"c{i}").cast("long")
-        total = d * d if total is None else total + d * d
-    pairs = queries.crossJoin(F.broadcast(centroids)).select("qid", "cluster", total.alias("d_centroid"))
-    rn = F.row_number().over(W.partitionBy("qid").orderBy("d_centroid", "cluster"))
-    return pairs.withColumn("rank", rn.cast("int")).where(F.col("rank") <= most).select("qid", "rank", "cluster", "d_centroid")
-
+def probe_rank(queries: DataFrame, centroids: DataFrame, most: int = REPAIR) -> DataFrame:
+    """``(qid, rank, cluster, d_centroid)``: each query's nearest centroids, the first of equals first.
 
-def staged_votes(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, probes: int = Clusters.PROBES, repair: int = Clusters.REPAIR, border: tuple[int, int] = (1, 4)) -> DataFrame:
-    """``(qid, frauds)`` by the staged cluster search; the index is a bounded, packed table."""
-    t = assigned.select("ref_id", "label", "cluster", *Q).toArrow()
-    c = np.array(sorted(centroids.select("cluster", *(f"c{i}" for i in range(DIMS))).collect()), np.int64)
-    q = np.stack([t.column(x).to_numpy() for x in Q], axis=1)
-    place = np.searchsorted(c[:, 0], t.column("cluster").to_numpy())
-    sent = queries.sparkSession.sparkContext.broadcast(Clusters(t.column("ref_id").to_numpy(), q, t.column("label").to_numpy(), place, c[:, 1:]))
+    Raises ValueError for over ``BROADCAST_CENTROIDS`` centroids.
+    """
+    sent = queries.sparkSession.sparkContext.broadcast(_centroids(centroids, BROADCAST_CENTROIDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.stack([b.column(n).to_numpy() for n in Q], axis=1)
-            found = [sent.value.frauds(row, probes=probes, repair=repair, border=border) for row in x]
-            yield pa.RecordBatch.from_arrays([b.column("qid"), pa.array(found, pa.int32())], ["qid", "frauds"])
-
-    return queries.select("qid", *Q).mapInArrow(run, "qid long, frauds int")
+        name, c = sent.value[:, 0], sent.value[:, 1:]
+        k = min(most, len(c))
+        step = max(1, (4 << 20) // max(1, len(c)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                b = whole.slice(a, step)
+                d = _to_centroids(_vectors(b), c)
+                order = np.argsort(d, axis=1, kind="stable")[:, :k]
+                arrays = [pa.array(np.repeat(b.column("qid").to_numpy(), k)), pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(d))), pa.array(name[order.ravel()].astype(np.int32)), pa.array(np.take_along_axis(d, order, 1).ravel())]
+                yield pa.RecordBatch.from_arrays(arrays, ["qid", "rank", "cluster", "d_centroid"])
+
+    return spread(queries.select("qid", *Q)).mapInArrow(run, "qid long, rank int, cluster int, d_centroid long")
+
+
+def with_cells(assigned: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Add the cell of each row of a clustering: its cluster, dealt by id to as many cells as bound their size."""
+    sizes = assigned.groupBy("cluster").agg(F.count("*").alias("_n"))
+    rows = assigned.join(F.broadcast(sizes), "cluster")  # a row for each centroid, which are BROADCAST_CENTROIDS at most
+    piece = F.pmod(F.xxhash64("ref_id"), F.ceil(F.col("_n") / cell_rows).cast("long"))
+    return rows.withColumn("cell", F.col("cluster").cast("long") * (1 << 32) + piece).drop("_n")
+
+
+def staged_neighbours(queries: DataFrame, refs: DataFrame, cells: Cells, centroids: np.ndarray, k: int = K, probes: int = PROBES, repair: int = REPAIR, border: tuple[int, int] = BORDER) -> DataFrame:
+    """``(qid, frauds)`` for every query, by up to three stages over ``refs(cell, ref_id, label, q0..q13)``.
+
+    The nearest ``probes`` clusters that have members decide if their vote is unanimous and near. Else clusters up to
+    rank ``repair`` are added, and for a vote within ``border``, or fewer than k neighbours, all others; where a box is beyond the kth
+    distance, it isn't searched. Each stage is a search of the queries that are still open, and is written out.
+    """
+    sc = queries.sparkSession.sparkContext
+    sent = sc.broadcast(cells)
+    held = centroids[np.isin(centroids[:, 0], cells.owner)]
+    model = sc.broadcast((held[:, 1:], np.searchsorted(held[:, 0], cells.owner)))
+
+    def within(low: int, high: int):
+        def choose(batch: pa.RecordBatch, x: np.ndarray, bound: np.ndarray, cells: Cells) -> np.ndarray:
+            c, owner = model.value
+            order = np.argsort(_to_centroids(x, c), axis=1, kind="stable")
+            rank = np.empty_like(order)
+            np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), 1)
+            rank = rank[:, owner]
+            return (rank >= low) & (rank < high) & (bound <= batch.column("d").to_numpy()[:, None])
+
+        return choose
+
+    far = F.lit(1 << 62)
+    open_, found, out = queries.select("qid", *Q, far.alias("d")), None, []
+    for stage, (low, high) in enumerate(((0, probes), (probes, repair), (repair, 1 << 30))):
+        more = search_cells(go(open_, sent, within(low, high)), refs, k)
+        found = kept(best(more if found is None else found.unionByName(more), k), "stage")
+        per = found.groupBy("qid").agg(F.count("*").alias("n"), F.sum("label").cast("int").alias("frauds"), F.max("distance").alias("far"))
+        state = kept(open_.drop("d").join(per, "qid", "left").select("qid", *Q, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("frauds", F.lit(0)).alias("frauds"), F.when(F.col("n") == k, F.col("far")).otherwise(far).alias("d")), "state")
+        f, full = F.col("frauds"), F.col("n") == k
+        done = (full & f.isin(0, k) & (F.col("d") <= EARLY), full & ~f.between(*border), F.lit(True))[stage]
+        out.append(state.where(done).select("qid", frauds_of(f).alias("frauds")))
+        open_ = state.where(~done).select("qid", *Q, "d")
+        found = found.join(open_.select("qid"), "qid", "left_semi")
+        if stage < 2 and open_.isEmpty():
+            break
+    total = out[0]
+    for x in out[1:]:
+        total = total.unionByName(x)
+    return total
+
+
+def staged_votes(queries: DataFrame, assigned: DataFrame, centroids: DataFrame, probes: int = PROBES, repair: int = REPAIR, border: tuple[int, int] = BORDER, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """``(qid, frauds)`` by the staged cluster search over references that have been assigned to centroids."""
+    refs = kept(with_cells(assigned, cell_rows), "clusters")
+    return staged_neighbours(queries, refs, Cells(boxes(refs, "cell", "cluster"), "cluster"), _centroids(centroids, BROADCAST_CENTROIDS), K, probes, repair, border)
 
 
 def split_level(state: DataFrame, most: int = LEAF_MOST) -> DataFrame:
     """One level of the forest: nodes of over ``most`` rows are cut at the median of their widest dimension.
 
     ``state(ref_id, part, node, q0..q13)``; the left half of n rows are the first n div 2 by value, then ref_id. The first of equally
-    wide dimensions is cut. Node n becomes 2n and 2n + 1.
+    wide dimensions is cut. Node n becomes 2n and 2n + 1. No node is sorted: the row at the cut is found digit by digit, by counts of the
+    values and then of 16 bits of the ids of equal ones, for all nodes at once.
     """
     extent = [F.max(q).cast("int") - F.min(q).cast("int") for q in Q]
     widest = F.array_max(F.array(*(F.struct(e.alias("w"), F.lit(-i).alias("d")) for i, e in enumerate(extent))))
-    per = state.groupBy("part", "node").agg(F.count("*").alias("_n"), (-widest["d"]).alias("_d"))
-    rows = state.join(per, ["part", "node"])
-    value = F.element_at(F.array(*Q), F.col("_d") + 1)
-    rn = F.row_number().over(W.partitionBy("part", "node").orderBy("_v", "ref_id"))
-    rows = rows.withColumn("_v", value).withColumn("_rn", rn)
-    node = F.when(F.col("_n") > most, 2 * F.col("node") + (F.col("_rn") > F.floor(F.col("_n") / 2)).cast("long")).otherwise(F.col("node"))
+    per = state.groupBy("part", "node").agg(F.count("*").alias("_n"), (-widest["d"]).alias("_d")).where(F.col("_n") > most)
+    # nodes that are cut have over ``most`` rows, so their table is small against the rows
+    cuts = kept(per.select("part", "node", "_d", F.floor(F.col("_n") / 2).alias("_left")), "cuts")
+    keys = F.array(F.element_at(F.array(*Q), F.col("_d") + 1).cast("long"), *(F.shiftright(F.col("ref_id"), s).bitwiseAND(F.lit(0xFFFF if s < 48 else -1).cast("long")) for s in (48, 32, 16, 0)))
+    own = W.partitionBy("part", "node").orderBy("_k")
+    for digit in range(5):
+        rows = state.join(cuts, ["part", "node"]).withColumn("_k", F.element_at(keys, digit + 1))
+        for k in range(digit):
+            rows = rows.where(F.element_at(keys, k + 1) == F.col(f"_t{k}"))
+        counts = rows.groupBy("part", "node", "_k").agg(F.count("*").alias("_c"))
+        counts = counts.withColumn("_to", F.sum("_c").over(own.rowsBetween(W.unboundedPreceding, 0)))
+        at = counts.join(cuts, ["part", "node"]).where((F.col("_to") >= F.col("_left")) & (F.col("_to") - F.col("_c") < F.col("_left")))
+        cuts = kept(at.select("part", "node", "_d", *(f"_t{k}" for k in range(digit)), F.col("_k").alias(f"_t{digit}"), (F.col("_left") - F.col("_to") + F.col("_c")).alias("_left"), (F.col("_left") == F.col("_to")).alias("_whole")), "cuts")
+        if digit < 4 and cuts.where("not _whole").isEmpty():
+            break  # everywhere all rows with these digits are left
+        cuts = cuts.drop("_whole") if digit < 4 else cuts
+    upto = F.lit(True)
+    for k in reversed(range(digit + 1)):
+        x, t = F.element_at(keys, k + 1), F.col(f"_t{k}")
+        upto = (x < t) | (x == t) & upto
+    rows = state.join(cuts, ["part", "node"], "left")
+    node = F.when(F.col("_t0").isNull(), F.col("node")).otherwise(2 * F.col("node") + (~upto).cast("long"))
     return rows.select(*(c for c in state.columns if c != "node"), node.alias("node"))
 
 
-def forest(refs: DataFrame, path: str, most: int = LEAF_MOST) -> DataFrame:
-    """``refs`` with the leaf (node) of each row; a level is a pass, written under ``path`` to cut lineage."""
-    spark = refs.sparkSession
-    state = refs.withColumn("node", F.lit(1).cast("long"))
-    for level in range(64):
-        state.write.mode("overwrite").parquet(f"{path}/level={level}")
-        state = spark.read.parquet(f"{path}/level={level}")
-        if state.groupBy("part", "node").count().where(F.col("count") > most).isEmpty():
-            return state
-        state = split_level(state, most)
-    raise RuntimeError("the forest did not end")
-
+def forest(refs: DataFrame, path: str | None = None, most: int = LEAF_MOST, cell_rows: int | None = None) -> DataFrame:
+    """``refs`` with the cell and the leaf (node) of each row.
 
-def forest_boxes(leaves: DataFrame) -> DataFrame:
-    """Boxes of the leaves, for pruning."""
-    keyed = leaves.withColumn("leaf", F.concat_ws("-", "part", "node"))
-    return boxes(keyed, "leaf")
+    Nodes of over ``cell_rows`` rows are cut level by level in Spark; each level is written under ``path``, and the one before deleted.
+    What is left are the cells, which tasks cut down to leaves of at most ``most`` rows on their own. There are
+    no more than ``CELLS`` cells of a forest: where it has many rows, cells are larger.
+    """
+    spark = refs.sparkSession
+    path = path or scratch_dir(spark, "forest")
+    state = kept(refs.withColumn("node", F.lit(1).cast("long")), "level", f"{path}/level=0")
+    cell_rows = max(most, cell_rows or max(CELL_ROWS, 4 * state.count() // CELLS))
+    for level in range(1, 64):
+        if state.groupBy("part", "node").count().where(F.col("count") > cell_rows).isEmpty():
+            break
+        state = kept(split_level(state, cell_rows), "level", f"{path}/level={level}")
+        drop_dir(spark, f"{path}/level={level - 1}")
+    else:
+        raise RuntimeError("the forest did not end")
+    names = [c for c in state.columns if c != "node"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def cell() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            ref, root = t.column("ref_id").to_numpy(), int(t.column("node")[0].as_py())
+            order = np.argsort(ref, kind="stable")
+            q = np.stack([t.column(x).to_numpy() for x in Q], axis=1)[order]
+            node = np.empty(len(ref), np.int64)
+            for name, rows in split(q, np.arange(len(ref)), most, root):
+                node[order[rows]] = name
+            key = np.full(len(ref), (int(t.column("part")[0].as_py()) << 48) + root)
+            return pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in names), pa.array(key), pa.array(node)], [*names, "cell", "node"])
 
-def build_index(spark: SparkSession, refs: DataFrame, path: str, kind: str = "kd", clusters: int = CLUSTERS) -> None:
-    """Write an index: ``kd`` (references by partition with their leaf, and boxes) or ``ivf`` (by cluster, centroids, boxes)."""
+        for b in batches:
+            part, node = b.column("part").to_numpy(), b.column("node").to_numpy()
+            cuts = np.flatnonzero((np.diff(part) != 0) | (np.diff(node) != 0)) + 1
+            for a, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)], strict=True):
+                if a == e:
+                    continue
+                piece = b.slice(a, e - a)
+                if held and (held[0].column("part")[0], held[0].column("node")[0]) != (piece.column("part")[0], piece.column("node")[0]):
+                    yield cell()
+                    held = []
+                held.append(piece)
+        if held:
+            yield cell()
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema if f.name != "node")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return state.repartition(n, "part", "node").sortWithinPartitions("part", "node").mapInArrow(run, f"{kinds}, cell long, node long")
+
+
+def build_index(spark: SparkSession, refs: DataFrame, path: str, kind: str = "kd", clusters: int = CLUSTERS, cell_rows: int | None = None, centroids: DataFrame | None = None) -> dict:
+    """Write an index: ``kd`` (references by partition with cell and leaf, and boxes) or ``ivf`` (by cluster, centroids, boxes).
+
+    Rows are dealt to files by ranges, so a partition or cluster that has most of them is not one task's. Returns
+    the index's figures: rows, and the least, most and mean size of its leaves or clusters, as observed while writing.
+    """
+    if kind not in ("kd", "ivf"):
+        raise ValueError(f"no index of kind {kind!r}")
+    path = path.rstrip("/")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if kind == "kd":
-        leaves = forest(refs, f"{path}/build")
-        leaves.withColumnRenamed("node", "leaf").repartition("part").sortWithinPartitions("part", "leaf", "ref_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/refs")
-        forest_boxes(leaves).write.mode("overwrite").parquet(f"{path}/boxes")
-        boxes(refs, "part").write.mode("overwrite").parquet(f"{path}/partitions")
-    elif kind == "ivf":
-        centroids = kmeans(refs, clusters)
-        assigned = assign(refs, centroids)
-        assigned.repartition("cluster").sortWithinPartitions("cluster", "d_centroid", "ref_id").write.mode("overwrite").parquet(f"{path}/refs")
+        leaves = forest(refs, f"{path}/build", cell_rows=cell_rows).withColumnRenamed("node", "leaf")
+        leaves.repartitionByRange(n, "part", "cell", "ref_id").sortWithinPartitions("part", "cell", "leaf", "ref_id").write.mode("overwrite").partitionBy("part").parquet(f"{path}/refs")
+        drop_dir(spark, f"{path}/build")
+        back = spark.read.schema(leaves.schema).parquet(f"{path}/refs")
+        groups = boxes(back, "part", "leaf")
+        boxes(back, "cell", "part").write.mode("overwrite").parquet(f"{path}/cells")
+        boxes(back, "part").write.mode("overwrite").parquet(f"{path}/partitions")
+    else:
+        centroids = centroids if centroids is not None else kmeans(refs, clusters)
         centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+        centroids = spark.read.schema(centroids.schema).parquet(f"{path}/centroids")
+        assigned = kept(assign(refs, centroids), "assigned", f"{path}/build")
+        with_cells(assigned, cell_rows or CELL_ROWS).repartitionByRange(n, "cluster", "d_centroid", "ref_id").sortWithinPartitions("cluster", "d_centroid", "ref_id").write.mode("overwrite").parquet(f"{path}/refs")
+        drop_dir(spark, f"{path}/build")
         back = spark.read.parquet(f"{path}/refs")
-        cluster_boxes(back).join(block_offsets(back).select("cluster", "block_off"), "cluster").write.mode("overwrite").parquet(f"{path}/boxes")
-    else:
-        raise ValueError(f"no index of kind {kind!r}")
+        groups = boxes(back, "cluster").join(block_offsets(back).select("cluster", "block_off"), "cluster")
+        boxes(back, "cell", "cluster").write.mode("overwrite").parquet(f"{path}/cells")
+    seen = Observation("index")
+    figures = [F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")]
+    groups.observe(seen, *figures).write.mode("overwrite").parquet(f"{path}/boxes")
+    said = {"kind": kind, "version": VERSION, **seen.get}
+    spark.createDataFrame([(kind, VERSION, said["rows"])], "kind string, version int, rows long").write.mode("overwrite").parquet(f"{path}/meta")
+    return said
+
+
+_TABLES = {"kd": {"refs": {"ref_id", "label", "part", "cell", "leaf", *Q}, "cells": {"cell", "part"}, "boxes": {"part", "leaf", "n"}, "partitions": {"part", "n"}}, "ivf": {"refs": {"ref_id", "label", "cluster", "cell", "d_centroid", *Q}, "cells": {"cell", "cluster"}, "boxes": {"cluster", "n", "block_off"}, "centroids": {"cluster", *(f"c{i}" for i in range(DIMS))}}}
+
+
+class Index:
+    """A written index. What a search sends out is packed once, and serves all searches of this object."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, path = spark, path.rstrip("/")
+        meta = spark.read.parquet(f"{path}/meta").first()
+        self.kind, self.rows = meta["kind"], meta["rows"]
+        if meta["version"] != VERSION or self.kind not in _TABLES:
+            raise ValueError(f"no index of version {VERSION}: {path}")
+        self.tables = {name: spark.read.parquet(f"{path}/{name}") for name in _TABLES[self.kind]}
+        for name, columns in _TABLES[self.kind].items():
+            if missing := columns - set(self.tables[name].columns):
+                raise ValueError(f"no index: {name} lacks {sorted(missing)}")
+
+    @property
+    def refs(self) -> DataFrame:
+        return self.tables["refs"]
+
+    @cached_property
+    def packed(self):
+        """The references by leaf, sent out; only for a checked number of them."""
+        return self.spark.sparkContext.broadcast(knn.pack(self.refs))
+
+    @cached_property
+    def cells(self) -> Cells:
+        return Cells(self.tables["cells"], "part" if self.kind == "kd" else "cluster")
+
+    @cached_property
+    def _sent_cells(self):
+        return self.spark.sparkContext.broadcast(self.cells)
+
+    def neighbours(self, queries: DataFrame, k: int = K, mode: str = "auto") -> DataFrame:
+        """The k nearest of ``queries(qid, q0..q13, part)``, exact, by an index of kind kd: packed if it is small enough, else by cells."""
+        if self.kind != "kd":
+            raise ValueError("an index of clusters gives votes, not neighbours")
+        if mode == "auto":
+            mode = "broadcast" if self.rows <= knn.rows_to_send() else "chunked"
+        if mode == "broadcast":
+            return knn.search_packed(queries, self.packed, k)
+        return knn.cell_neighbours(queries, self.refs, self._sent_cells, k)
+
+    def votes(self, queries: DataFrame, **options) -> DataFrame:
+        """``(qid, frauds)``: exact for kd; staged for ivf, with the options of ``staged_neighbours``."""
+        if self.kind == "kd":
+            return knn.votes(self.neighbours(queries, **options))
+        return staged_neighbours(queries, self.refs, self.cells, _centroids(self.tables["centroids"], BROADCAST_CENTROIDS), **options)
+
+    def warm(self, n: int = 1000, seed: int = 7) -> int:
+        """Search for some random vectors, which sends out and loads what searches share; returns their votes."""
+        from quintet.sources.requests import synthetic_vectors
+
+        rows = from_vectors(synthetic_vectors(self.spark, n, seed)).withColumnRenamed("ref_id", "qid")
+        return int(self.votes(rows).agg(F.coalesce(F.sum("frauds"), F.lit(0))).first()[0])
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    """An index that ``build_index`` wrote; raises ValueError if its version or tables are others."""
+    return Index(spark, path)
 
 
 def from_vectors(df: DataFrame) -> DataFrame:

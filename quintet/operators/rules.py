@@ -1,21 +1,24 @@
 """Decision trees as tables, and the leaf rules of the cascade.
 
 A tree is a parameter: rows ``(node, feature, threshold, left, right)``, where a
-child below 0 is leaf ``-1 - child``. It becomes a table of leaf boxes, and routing a range join
-against that table, whose size is checked before it is sent out.
+child below 0 is leaf ``-1 - child``, and rows with ``feature <= threshold`` go left. It is a model of a checked size, and
+is sent out whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quintet.functions.features import DIMS, Q
+from quintet.functions.features import Q
 
-#: Boxes that are sent to executors at most.
-BROADCAST_BOXES = 100_000
+#: Nodes that are sent to executors at most.
+MODEL_NODES = 100_000
 Node = tuple[int, int, int, int, int]
 
 # The conjunctions that decide the cascade, as (feature, at most, above) bounds, and their votes.
@@ -55,32 +58,30 @@ def rule_frauds() -> Column:
     return out
 
 
-def leaf_boxes(nodes: list[Node]) -> list[tuple[int, list[int], list[int]]]:
-    """``(leaf, above, most)``: a leaf holds rows with above < q <= most in each feature."""
-    by = {n[0]: n for n in nodes}
-    out, stack = [], [(0, [-32769] * DIMS, [32767] * DIMS)]
-    while stack:
-        node, above, most = stack.pop()
-        if node < 0:
-            out.append((-1 - node, above, most))
-            continue
-        _, f, t, left, right = by[node]
-        stack.append((right, [max(x, t) if i == f else x for i, x in enumerate(above)], most))
-        stack.append((left, above, [min(x, t) if i == f else x for i, x in enumerate(most)]))
-    return out
-
-
-def boxes_table(spark: SparkSession, nodes: list[Node]) -> DataFrame:
-    schema = "leaf int, " + ", ".join(f"above{i} int, most{i} int" for i in range(DIMS))
-    return spark.createDataFrame([(leaf, *(x for pair in zip(a, m, strict=True) for x in pair)) for leaf, a, m in leaf_boxes(nodes)], schema)
-
-
 def route(rows: DataFrame, nodes: list[Node]) -> DataFrame:
-    """Add the leaf of each row."""
-    boxes = boxes_table(rows.sparkSession, nodes)
-    boxes = F.broadcast(boxes) if len(nodes) <= BROADCAST_BOXES else boxes
-    tests = [(F.col(q) > F.col(f"above{i}")) & (F.col(q) <= F.col(f"most{i}")) for i, q in enumerate(Q)]
-    return rows.join(boxes, reduce(lambda a, b: a & b, tests)).select(*rows.columns, "leaf")
+    """Add the leaf of each row: a batch of rows goes down the tree together, a level a step. A tree without nodes is leaf 0."""
+    if len(nodes) > MODEL_NODES:
+        raise ValueError(f"over {MODEL_NODES} nodes")
+    names = {n[0]: k for k, n in enumerate(nodes)}
+    if nodes and 0 not in names:
+        raise ValueError("a tree begins with node 0")
+    child = [[names[c] if c >= 0 else c for c in n[3:]] for n in nodes]
+    sent = rows.sparkSession.sparkContext.broadcast((np.array([n[1] for n in nodes], np.int64), np.array([n[2] for n in nodes], np.int64), np.array(child, np.int64).reshape(-1, 2), names.get(0, -1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        feature, threshold, below, first = sent.value
+        for b in batches:
+            q = np.stack([b.column(x).to_numpy() for x in Q], axis=1)
+            at = np.full(len(q), first, np.int64)
+            left = np.flatnonzero(at >= 0)
+            while len(left):
+                node = at[left]
+                at[left] = below[node, (q[left, feature[node]] > threshold[node]).astype(np.int64)]
+                left = left[at[left] >= 0]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array((-1 - at).astype(np.int32))], [*b.schema.names, "leaf"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, leaf int")
 
 
 def even_tree(cuts: list[tuple[int, int]]) -> list[Node]:

@@ -20,13 +20,14 @@ from quintet.operators import knn, rules
 from quintet.operators.score import score
 from quintet.plans import oracle as o
 from quintet.sources import requests as rq
+from quintet.sources.scratch import kept, scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-#: A small tree of the entries that calibration routes, and its leaves.
-TREE = rules.even_tree([(0, 1000), (2, 1000), (11, 5000), (12, 3000)])
-LEAVES = 20
+#: A full tree of the entries that calibration routes, and its leaves.
+TREE = rules.even_tree([(0, 1000), (2, 1000), (11, 5000), (12, 3000), (5, 200), (8, 500), (3, 5000), (4, 5000), (13, 300)])
+LEAVES = 512
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -159,10 +160,13 @@ def partition_bbox(spark, sf_dir):
 
 @query(o.tx(f"SELECT a.event_id, CAST(min({o.BOUND}) FILTER (b.part <> a.part) AS BIGINT) AS next_bound, count(*) FILTER (({o.BOUND}) = 0) AS inside FROM p AS a, b GROUP BY a.event_id", f"b AS (SELECT part, {o.BOX} FROM p GROUP BY part)"))
 def bbox_lower_bound(spark, sf_dir):
-    r = refs(spark, sf_dir)
-    pairs = r.alias("a").join(F.broadcast(knn.boxes(r, "part")).alias("x"))  # at most 256 boxes
-    pairs = pairs.select(F.col("a.ref_id").alias("event_id"), (F.col("a.part") != F.col("x.part")).alias("other"), fx.box_bound("a", "x").alias("d"))
-    return pairs.groupBy("event_id").agg(F.min(F.when(F.col("other"), F.col("d"))).alias("next_bound"), F.count_if(F.col("d") == 0).alias("inside"))
+    r = kept(refs(spark, sf_dir), "refs")
+    box = F.struct("part", *(f"{n}{i}" for n in ("lo", "hi") for i in range(DIMS)))
+    all_ = knn.boxes(r, "part").agg(F.collect_list(box).alias("boxes"))  # one row with at most 256 boxes
+    bounds = F.transform("boxes", lambda x: F.struct((x["part"] != F.col("part")).alias("other"), fx.box_bound_of(x).alias("d")))
+    rows = r.join(F.broadcast(all_)).select(F.col("ref_id").alias("event_id"), bounds.alias("b"))
+    other = F.transform(F.filter("b", lambda x: x["other"]), lambda x: x["d"])
+    return rows.select("event_id", F.array_min(other).alias("next_bound"), F.size(F.filter("b", lambda x: x["d"] == 0)).cast("long").alias("inside"))
 
 
 # neighbours and scores
@@ -192,12 +196,37 @@ def cascade_score(spark, sf_dir):
     return score(requests(spark, sf_dir).drop("label"), refs(spark, sf_dir), rules=True).select("id", "frauds")
 
 
-@query()
+@query(o.tx("SELECT qid, frauds FROM s", o.staged(2, 4)))
 def knn_ivf(spark, sf_dir):
     """Staged cluster search: approximate where its first stage is unanimous."""
-    r = refs(spark, sf_dir)
+    r = kept(refs(spark, sf_dir), "refs")
     c = centroids(spark)
-    return ix.staged_votes(asked(r), ix.assign(r, c), c)
+    return ix.staged_votes(asked(r), ix.assign(r, c), c, repair=4)
+
+
+@query(o.tx("SELECT qid, CAST(rn AS INTEGER) AS rn, ref_id, distance FROM k", o.NEAR))
+def index_kd(spark, sf_dir):
+    """A forest of trees written, opened, and searched cell by cell."""
+    path = scratch_dir(spark, "kd")
+    r = kept(refs(spark, sf_dir), "refs")
+    ix.build_index(spark, r, path, cell_rows=500)
+    return ix.open_index(spark, path).neighbours(asked(r), mode="chunked").select("qid", "rn", "ref_id", "distance")
+
+
+@query(o.tx("SELECT CAST(qid AS VARCHAR) AS id, frauds FROM s", o.NEAR))
+def score_with_index(spark, sf_dir):
+    """Requests scored against a written index, which is packed by its leaves."""
+    path = scratch_dir(spark, "kd")
+    ix.build_index(spark, refs(spark, sf_dir), path)
+    return score(requests(spark, sf_dir).drop("label"), path).select("id", "frauds")
+
+
+@query(o.tx("SELECT CAST(qid AS VARCHAR) AS id, frauds FROM s", o.staged(2, 32)))
+def score_with_clusters(spark, sf_dir):
+    """Requests scored in stages against a written index of clusters."""
+    path = scratch_dir(spark, "ivf")
+    ix.build_index(spark, refs(spark, sf_dir), path, kind="ivf", centroids=centroids(spark))
+    return score(requests(spark, sf_dir).drop("label"), path).select("id", "frauds")
 
 
 _E = ", ".join(f"e{i}" for i in range(64))
@@ -218,17 +247,17 @@ def knn_embeddings(spark, sf_dir):
 # clusters
 
 
-def centroids(spark: SparkSession) -> DataFrame:
-    """Sixteen fixed centroids."""
+def centroids(spark: SparkSession, n: int = 16) -> DataFrame:
+    """Fixed centroids."""
     j = F.col("id")
-    return spark.range(16).select(j.cast("int").alias("cluster"), *(F.pmod(j * 1237 + i * 2711 + j * i * 173, F.lit(10001)).cast("int").alias(f"c{i}") for i in range(DIMS)))
+    return spark.range(n).select(j.cast("int").alias("cluster"), *(F.pmod(j * 1237 + i * 2711 + j * i * 173, F.lit(10001)).cast("int").alias(f"c{i}") for i in range(DIMS)))
 
 
 def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ix.assign(refs(spark, sf_dir), centroids(spark))
 
 
-@query(f"WITH {o.CENTROIDS} SELECT * FROM c")
+@query(f"WITH {o.centroids(16)} SELECT * FROM c")
 def quantized_centroids(spark, sf_dir):
     c = centroids(spark)
     scaled = c.select("cluster", *(fx.quantize((F.col(f"c{i}").cast("double") / 10000).cast("float")).cast("int").alias(f"c{i}") for i in range(DIMS)))
@@ -276,6 +305,17 @@ def probe_rank(spark, sf_dir):
     return ix.probe_rank(asked(refs(spark, sf_dir)), centroids(spark), 2)
 
 
+@query(o.tx("SELECT event_id AS qid, CAST(rank AS INTEGER) AS rank, cluster, d_centroid FROM d WHERE rank <= 32", o.ranked(40)))
+def probe_rank_32(spark, sf_dir):
+    return ix.probe_rank(asked(refs(spark, sf_dir)), centroids(spark, 40))
+
+
+@query(o.tx("SELECT event_id, round(" + " + ".join(f"(CAST(v{i} AS DOUBLE) - {(i + 1) / 16}) * (CAST(v{i} AS DOUBLE) - {(i + 1) / 16})" for i in range(DIMS)) + ", 9) AS d FROM p"))
+def float_l2(spark, sf_dir):
+    rows = requests(spark, sf_dir).select("event_id", *fx.features())
+    return rows.select("event_id", F.round(fx.float_distance([F.col(v) for v in V], [F.lit((i + 1) / 16) for i in range(DIMS)]), 9).alias("d"))
+
+
 @query()
 def sample_kmeans(spark, sf_dir):
     return ix.kmeans(refs(spark, sf_dir), k=8, iterations=5)
@@ -289,25 +329,16 @@ def synthetic_vectors(spark, sf_dir):
 # forest
 
 
-_WIDEST = "CASE " + " ".join(f"WHEN greatest({', '.join(f'x{j}' for j in range(DIMS))}) = x{i} THEN {i}" for i in range(DIMS)) + " END"
-_VALUE = "CASE d " + " ".join(f"WHEN {i} THEN q{i}" for i in range(DIMS)) + " END"
-
-
-@query(o.tx(
-    "SELECT event_id, part, CASE WHEN n > 128 THEN 2 + CAST(rn > n // 2 AS BIGINT) ELSE 1 END AS node FROM (SELECT event_id, part, n, row_number() OVER (PARTITION BY part ORDER BY val, event_id) AS rn FROM h)",
-    f"ex AS (SELECT part, count(*) AS n, {', '.join(f'max(q{i}) - min(q{i}) AS x{i}' for i in range(DIMS))} FROM p GROUP BY part), wd AS (SELECT part, n, {_WIDEST} AS d FROM ex), h AS (SELECT event_id, part, n, {_VALUE} AS val FROM p JOIN wd USING (part))",
-))
+@query(o.tx("SELECT event_id, part, node FROM f1", o.forest(1)))
 def kd_split_level(spark, sf_dir):
-    state = refs(spark, sf_dir).withColumn("node", F.lit(1).cast("long"))
+    state = kept(refs(spark, sf_dir).withColumn("node", F.lit(1).cast("long")), "refs")
     return ix.split_level(state).select(F.col("ref_id").alias("event_id"), "part", F.col("node").cast("long").alias("node"))
 
 
-@query()
+@query(o.tx("SELECT part, node, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM f12 GROUP BY part, node", o.forest(12)))
 def kd_leaves(spark, sf_dir):
-    from quintet.sources.scratch import scratch_dir
-
-    leaves = ix.forest(refs(spark, sf_dir), scratch_dir(spark, "forest"))
-    return leaves.groupBy("part", "node").agg(F.count("*").alias("n"))
+    leaves = ix.forest(refs(spark, sf_dir), cell_rows=1000)
+    return leaves.groupBy("part", "node").agg(F.count("*").alias("n"), F.sum("ref_id").cast("long").alias("ids"))
 
 
 # rules and calibration
@@ -420,6 +451,95 @@ def top_partitions(spark, sf_dir):
     return cal.top(entries(spark, sf_dir), "part")
 
 
+@query(o.tx("SELECT leaf, part, n, verdict FROM sp", o.PAIRS))
+def rule_file(spark, sf_dir):
+    """Rules written and read again."""
+    path = scratch_dir(spark, "rules")
+    rq.write_rules(pairs(spark, sf_dir), path)
+    return rq.read_rules(spark, path)
+
+
+@query(o.tx("SELECT leaf, leaf % 6 AS frauds, count(*) AS n FROM p GROUP BY leaf"))
+def model_file(spark, sf_dir):
+    """The tree written as tables, read again, and entries routed by it."""
+    path = scratch_dir(spark, "model")
+    rq.write_model(spark, TREE, [k % 6 for k in range(LEAVES)], path)
+    nodes, leaves = rq.read_model(spark, path)
+    return rules.route(refs(spark, sf_dir), nodes).groupBy("leaf").agg(F.count("*").alias("n")).join(leaves, "leaf").select("leaf", "frauds", "n")
+
+
+@query("""SELECT CAST(leaf AS INTEGER) AS leaf, CAST(part AS INTEGER) AS part, count(*) AS n, CASE WHEN bool_and(approved) THEN 0 ELSE 5 END AS verdict
+FROM (SELECT 260 + i % 16 AS leaf, 245 + (i // 16) % 11 AS part, i % 16 < 9 OR (i // 16) % 11 = 4 AND i % 5 > 0 AS approved FROM range(100000) AS r(i))
+WHERE leaf IN (267, 268, 269, 270) AND part IN (249, 253) GROUP BY leaf, part HAVING count(*) >= 200 AND (bool_and(approved) OR NOT bool_or(approved))""")
+def pairs_by_default(spark, sf_dir):
+    """Safe pairs of the default leaves, partitions and support, over made-up entries that have others too."""
+    i = F.col("id")
+    part = F.floor(i / 16) % 11
+    made = spark.range(100_000).select(i.alias("entry_id"), (260 + i % 16).cast("int").alias("leaf"), (245 + part).cast("int").alias("part"), ((i % 16 < 9) | (part == 4) & (i % 5 > 0)).alias("approved"))
+    return cal.safe_pairs(cal.pair_support(made))
+
+
+# files
+
+
+@query("""SELECT part, label, count(*) AS n, CAST(sum(q0) AS BIGINT) AS q0, CAST(sum(q13) AS BIGINT) AS q13, CAST(min(q5) AS INTEGER) AS q5, max(i) AS last FROM (
+  SELECT *, CAST(CAST(q5 >= 0 AS INTEGER) + 2 * CAST(q9 > 0 AS INTEGER) + 4 * CAST(q10 > 0 AS INTEGER) + 8 * CAST(q11 > 0 AS INTEGER) + 16 * (CASE WHEN q12 <= 2047 THEN 0 WHEN q12 <= 4095 THEN 1 WHEN q12 <= 6143 THEN 2 ELSE 3 END) + 64 * CAST(q2 > 4096 AS INTEGER) + 128 * CAST(q8 > 2048 AS INTEGER) AS INTEGER) AS part FROM (
+  SELECT row_number() OVER (ORDER BY """ + ", ".join(f"(i * {37 + 2 * j} + {j} * 101) % 2001" for j in range(DIMS)) + ", i % 3 = 0) - 1 AS i, CAST(i % 3 = 0 AS INTEGER) AS label, " + ", ".join(f"((i * {37 + 2 * j} + {j} * 101) % 2001 - 1000) * 10 AS q{j}" for j in range(DIMS)) + """ FROM range(1000) AS r(i) WHERE i % 10 > 0))
+GROUP BY part, label""")
+def loaded_references(spark, sf_dir):
+    """A compressed JSON array of labelled vectors, some of them without a label or too short, loaded as references."""
+    import json
+
+    path = scratch_dir(spark, "json")
+    made = [{"vector": [((i * (37 + 2 * j) + j * 101) % 2001 - 1000) / 1000 for j in range(DIMS)] + [9.0] * (i % 2), "label": "fraud" if i % 3 == 0 else "legit", "more": {"x": [i]}} for i in range(1000)]
+    for i in range(0, 1000, 10):
+        made[i] = {"vector": made[i]["vector"][:13], "label": "fraud"} if i % 20 else {"vector": made[i]["vector"]}
+    spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.option("compression", "gzip").text(path)
+    r = rq.read_references(spark, path)
+    return r.groupBy("part", F.col("label").cast("int").alias("label")).agg(F.count("*").alias("n"), *(F.sum(q).cast("long").alias(q) for q in ("q0", "q13")), F.min("q5").cast("int").alias("q5"), F.max("ref_id").alias("last"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS entry_id, 'r' || i AS id, i % 3 <> 1 AS expected_approved, CAST(i % 6 AS DOUBLE) / 5 AS expected_fraud_score, CAST(least(i * 100, 10000) AS INTEGER) AS q0, CAST(CASE WHEN i % 2 = 0 THEN -10000 ELSE 0 END AS INTEGER) AS q5, CAST(40 AS BIGINT) AS total, 0.325 AS fraud_rate FROM range(40) AS r(i)")
+def evaluation_file(spark, sf_dir):
+    """An evaluation file: its entries as requests with expectations, and its own figures."""
+    import json
+
+    path = scratch_dir(spark, "evaluation")
+    entries = []
+    for i in range(40):
+        request = json.loads(GOOD) | {"id": f"r{i}"}
+        request["transaction"]["amount"] = 100 * i
+        request["last_transaction"] = None if i % 2 == 0 else {"timestamp": request["transaction"]["requested_at"], "km_from_current": 1.0}
+        entries.append({"request": request, "expected_approved": i % 3 != 1, "expected_fraud_score": (i % 6) / 5})
+    stats = {"total": 40, "fraud_count": 13, "fraud_rate": 0.325, "legit_count": 27, "legit_rate": 0.675, "edge_case_rate": 0.5}
+    spark.createDataFrame([(json.dumps({"entries": entries, "stats": stats}),)], "value string").coalesce(1).write.text(path)
+    rows = rq.vectors(rq.read_evaluation(spark, path), ("entry_id", "id", "expected_approved", "expected_fraud_score"))
+    return rows.join(F.broadcast(rq.read_evaluation_stats(spark, path))).select("entry_id", "id", "expected_approved", "expected_fraud_score", F.col("q0").cast("int"), F.col("q5").cast("int"), "total", "fraud_rate")
+
+
+@query("SELECT CAST(i + 1 AS INTEGER) AS line_no, line FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(['    "n": 10', *[f'    "n": {k}' for k in range(11, 46)], "}", "{", '    "last": 1', "}"])) + ") AS t(i, line)")
+def log_scrape(spark, sf_dir):
+    """The last lines of the results that a container has logged."""
+    path = scratch_dir(spark, "log")
+    log = ["k6-1  | starting", "lb-1  | {", *(f"k6-1  | {x}" for x in ["{", *(f'    "n": {k}' for k in range(46)), "}"]), "api-1 | }", "k6-1  | done", "k6-1  | {", 'k6-1  |     "last": 1', "k6-1  | }", "k6-1  | bye"]
+    spark.createDataFrame([("\n".join(log),)], "value string").coalesce(1).write.text(path)
+    return rq.read_result_log(spark, path)
+
+
+@query("SELECT * FROM (VALUES ('POST /fraud-score HTTP/1.1', 'score', true), ('GET /ready HTTP/1.1', 'ready', false), ('GET /fraud-score HTTP/1.1', 'other', false), ('POST /fraud-scores', 'score', true), ('', 'other', false)) AS t(request, route, length_header)")
+def routes(spark, sf_dir):
+    rows = spark.createDataFrame([("POST /fraud-score HTTP/1.1", "Content-LENGTH:"), ("GET /ready HTTP/1.1", "content-type:"), ("GET /fraud-score HTTP/1.1", "\u212aontent-length:"), ("POST /fraud-scores", "content-length:"), ("", "")], "request string, header string")
+    return rows.select("request", rs.route(F.col("request")).alias("route"), rs.same_ascii(F.col("header"), F.lit("content-length:")).alias("length_header"))
+
+
+@query("""SELECT CAST(x AS DOUBLE) AS x, bytes, duration, percent, number FROM (VALUES (0.0, '0 B', '0s', '0.00%', '0'), (0.0005, '0.0005 B', '500ns', '0.05%', '0.0005'), (0.5, '0.5 B', '500µs', '50.00%', '0.5'), (9.99, '9.99 B', '9.99ms', '999.00%', '9.99'), (999.0, '999 B', '999ms', '99900.00%', '999'),
+  (1500.0, '1.5 kB', '1.5s', '150000.00%', '1500'), (12345.678, '12 kB', '12.34s', '1234567.80%', '12345.678'), (75000.0, '75 kB', '1m15s', '7500000.00%', '75000'), (2500000.0, '2.5 MB', '41m40s', '250000000.00%', '2500000'), (7384000.0, '7.4 MB', '2h3m4s', '738400000.00%', '7384000')) AS t(x, bytes, duration, percent, number)""")
+def formats(spark, sf_dir):
+    rows = spark.createDataFrame([(x,) for x in (0.0, 0.0005, 0.5, 9.99, 999.0, 1500.0, 12345.678, 75000.0, 2.5e6, 7384000.0)], "x double")
+    x = F.col("x")
+    return rows.select("x", rs.human_bytes(x).alias("bytes"), rs.human_duration(x).alias("duration"), rs.human_percent(x).alias("percent"), rs.trimmed_fixed(x, 6).alias("number"))
+
+
 # evaluation
 
 
@@ -436,6 +556,17 @@ def confusion(spark, sf_dir):
     return ev.confusion(judged(spark, sf_dir))
 
 
+_SAID = "CASE WHEN event_id % 10 <> 3 THEN q0 <= 1000 END"
+
+
+@query(o.tx(f"SELECT count(*) FILTER (label = 1 AND NOT said) AS tp, count(*) FILTER (label = 0 AND said) AS tn, count(*) FILTER (label = 0 AND NOT said) AS fp, count(*) FILTER (label = 1 AND said) AS fn, count(*) FILTER (said IS NULL) AS err, count(*) AS n FROM (SELECT label, {_SAID} AS said FROM p)"))
+def confusion_joined(spark, sf_dir):
+    """Predictions, of which some are missing, joined to expectations by entry."""
+    r = refs(spark, sf_dir)
+    said = r.where("ref_id % 10 <> 3").select(F.col("ref_id").alias("entry_id"), (F.col("q0") <= 1000).alias("approved"))
+    return ev.confusion(ev.judge(said, r.select(F.col("ref_id").alias("entry_id"), (F.col("label") == 0).alias("expected"))))
+
+
 @query("SELECT round(quantile_cont(value, 0.99), 6) AS p99 FROM events")
 def p99(spark, sf_dir):
     return ev.latency(events(spark, sf_dir), "value").select(F.round("p99", 6).alias("p99"))
@@ -464,10 +595,43 @@ def smoke_checks(spark, sf_dir):
     return ev.checks(refs(spark, sf_dir), {k: F.expr(c) for k, c in _CHECKS.items()})
 
 
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg, min(value) AS min, round(median(value), 6) AS med, max(value) AS max, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
+@query(o.tx("""SELECT n, weighted_error, final_score FROM (SELECT n, weighted_error, round(ps + ds, 2) AS final_score FROM (SELECT *, CASE WHEN p99 <= 0 THEN 0.0 WHEN p99 > 2000 THEN -3000.0 ELSE 1000.0 * log10(1000.0 / greatest(p99, 1.0)) END AS ps,
+      CASE WHEN failure_rate > 0.15 THEN -3000.0 ELSE 1000.0 * log10(1.0 / greatest(error_rate, 0.001)) - 300.0 * log10(1.0 + weighted_error) END AS ds FROM f))""",
+    f"c AS (SELECT {_CONFUSION}, quantile_cont(value, 0.99) AS p99 FROM p), f AS (SELECT n, p99, fp + 3 * fn + 5 * err AS weighted_error, (fp + 3 * fn + 5 * err) / n AS error_rate, (fp + fn + err) / n AS failure_rate FROM c)"))
+def result_file(spark, sf_dir):
+    """The final score written as a JSON file and read again."""
+    path = scratch_dir(spark, "result")
+    rq.write_result(final_score(spark, sf_dir), path)
+    return spark.read.schema("n long, weighted_error long, final_score double").json(path)
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS avg, min(value) AS min, round(median(value), 6) AS med, max(value) AS max, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def metric_summary(spark, sf_dir):
-    c = F.col("value")
-    return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg(c), 6).alias("avg"), F.min(c).alias("min"), F.round(F.median(c), 6).alias("med"), F.max(c).alias("max"), F.round(F.percentile(c, F.lit(0.9)), 6).alias("p90"))
+    s = ev.summary(events(spark, sf_dir), "trend", "value", ("event_type",))
+    return s.select("event_type", "n", "min", "max", *(F.round(c, 6).alias(c) for c in ("avg", "med", "p90", "p95")))
+
+
+@query("SELECT event_type, count(*) AS count, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS sum, round(count(*) / 120.0::DOUBLE, 6) AS per_second FROM events GROUP BY event_type")
+def metric_counter(spark, sf_dir):
+    rows = events(spark, sf_dir).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return ev.summary(rows, "counter", "cents", ("event_type",), seconds=120).withColumn("per_second", F.round("per_second", 6))
+
+
+@query("SELECT event_type, arg_max(value, event_id) AS value, min(value) AS min, max(value) AS max FROM events GROUP BY event_type")
+def metric_gauge(spark, sf_dir):
+    return ev.summary(events(spark, sf_dir).withColumn("at", F.col("event_id")), "gauge", "value", ("event_type",))
+
+
+@query("SELECT event_type, count(*) FILTER (value > 100) AS passes, count(*) FILTER (NOT value > 100) AS fails, round(avg(CAST(value > 100 AS DOUBLE)), 6) AS rate FROM events GROUP BY event_type")
+def metric_rate(spark, sf_dir):
+    return ev.summary(events(spark, sf_dir).withColumn("high", F.col("value") > 100), "rate", "high", ("event_type",)).withColumn("rate", F.round("rate", 6))
+
+
+@query("SELECT * FROM (VALUES ('checks', '✓ checks..............: 100.00% ✓ 20'), ('http_req_duration', '✗ http_req_duration...: avg=12.34ms p(99)=1.5s'), ('vus', '  vus.................: 7')) AS t(name, line)")
+def text_report(spark, sf_dir):
+    rows = spark.createDataFrame([("http_req_duration", False, ["avg=12.34ms", "p(99)=1.5s"]), ("checks", True, ["100.00%", "\x1b[32m✓ 20\x1b[0m"]), ("vus", None, ["7"])], "name string, ok boolean, values array<string>")
+    lines = ev.text_summary(rows)
+    return lines.select("name", F.regexp_replace(F.regexp_replace("line", "\x1b\\[[0-9;]*m", ""), " +", " ").alias("line")).withColumn("line", F.when(F.col("name") == "vus", F.concat(F.lit(" "), "line")).otherwise(F.col("line")))
 
 
 @query(o.tx(f"SELECT frauds, '{{\"approved\":' || CASE WHEN frauds <= 2 THEN 'true' ELSE 'false' END || ',\"fraud_score\":' || CAST(frauds / 5.0::DOUBLE AS VARCHAR) || '}}' AS response, count(*) AS n FROM (SELECT {o.rule_frauds()} AS frauds FROM p) WHERE frauds IS NOT NULL GROUP BY frauds"))
@@ -482,15 +646,14 @@ def settings(spark, sf_dir):
     return rows.select("text", F.array_join(rs.list_setting(F.col("text")), "|").alias("items"), rs.int_setting(F.col("n"), 7).alias("number"))
 
 
-@query()
+@query(SQL["score_response"])
 def stream_score(spark, sf_dir):
     """The requests as JSON lines through a stream, once."""
-    from quintet.sources.scratch import scratch_dir
     from quintet.streaming.score import read_stream, score_stream
 
     path = scratch_dir(spark, "stream")
     requests(spark, sf_dir).select(F.to_json(F.struct("id", *rq.PARTS)).alias("value")).write.text(f"{path}/in")
-    r = refs(spark, sf_dir)
+    r = kept(refs(spark, sf_dir), "refs")
     stream = score_stream(read_stream(spark, f"{path}/in"), r, f"{path}/out", f"{path}/state")
     stream.awaitTermination()
     return spark.read.parquet(f"{path}/out").drop("batch")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession, tag: str) -> str:
@@ -16,3 +16,15 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="quintet-")
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` to scratch and read it again: cuts lineage, survives lost executors."""
+    path = path or scratch_dir(df.sparkSession, tag)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_dir(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quintet.functions.features import Q
-from quintet.operators.rules import even_tree, leaf_boxes, rule_frauds, rule_leaf
+from quintet.operators.rules import even_tree, route, rule_frauds, rule_leaf
 from quintet.operators.score import score
 from quintet.sources import requests as rq
 
@@ -89,24 +89,49 @@ def test_malformed_is_approved_and_few_references_count_as_legit(spark):
     assert {r["frauds"] for r in score(rows, refs.limit(0)).collect()} == {0}
 
 
-def test_boxes_of_a_tree_cover_each_point_once():
-    boxes = leaf_boxes(even_tree([(0, 10), (3, 20), (0, 5)]))
-    assert sorted(b[0] for b in boxes) == list(range(8))
-    for x in (0, 5, 6, 10, 11):
-        for y in (20, 21):
-            point = [x, 0, 0, y] + [0] * 10
-            inside = [leaf for leaf, a, m in boxes if all(lo < v <= hi for v, lo, hi in zip(point, a, m))]
-            assert inside == [4 * (x > 10) + 2 * (y > 20) + (x > 5)]
+def test_tree_routes_rows_to_leaves(spark):
+    uneven = [(0, 0, 10, 5, -1), (5, 3, 20, -2, 9), (9, 0, 5, -3, -4)]
+    points = [(x, y) for x in (0, 5, 6, 10, 11) for y in (20, 21)]
+    rows = spark.createDataFrame([(x, 0, 0, y, *[0] * 10) for x, y in points], ", ".join(f"{q} smallint" for q in Q))
+    got = {(r["q0"], r["q3"]): r["leaf"] for r in route(rows, uneven).collect()}
+    assert got == {(x, y): 0 if x > 10 else 1 if y <= 20 else 2 if x <= 5 else 3 for x, y in points}
+    full = {(r["q0"], r["q3"]): r["leaf"] for r in route(rows, even_tree([(0, 10), (3, 20), (0, 5)])).collect()}
+    assert full == {(x, y): 4 * (x > 10) + 2 * (y > 20) + (x > 5) for x, y in points}
+    assert {r["leaf"] for r in route(rows, []).collect()} == {0}
+
+
+def test_model_files(spark, tmp_path):
+    nodes = even_tree([(0, 10), (3, 20), (0, 5)])
+    rq.write_model(spark, nodes, [0, 1, 2, 3, 4, 5, 0, 1], str(tmp_path / "m"))
+    back, leaves = rq.read_model(spark, str(tmp_path / "m"))
+    assert back == sorted(nodes) and [r["frauds"] for r in leaves.orderBy("leaf").collect()] == [0, 1, 2, 3, 4, 5, 0, 1]
+    for bad, counts in ((nodes[:-1], list(range(8))), (nodes, list(range(7))), ([*nodes, (99, 0, 0, -1, -2)], list(range(8)))):
+        rq.write_model(spark, bad, counts, str(tmp_path / "bad"))
+        with pytest.raises(ValueError):
+            rq.read_model(spark, str(tmp_path / "bad"))
+
+
+def test_scores_do_not_depend_on_ids(spark):
+    rows = [request(transaction={"amount": float(a), "installments": a % 12}, id=i) for a, i in ((10, None), (5000, None), (9000, "a"), (20, "a"), (10, "b"))]
+    want = None
+    refs = spark.createDataFrame([(k, k % 2, 0, *[k * 700 % 10000] + [500 * (k % 7)] * 13) for k in range(60)], "ref_id long, label int, part int, " + ", ".join(f"{q} smallint" for q in Q))
+    plain = [request(transaction={"amount": float(a), "installments": a % 12}, id=str(k)) for k, a in enumerate((10, 5000, 9000, 20, 10))]
+    want = [r["frauds"] for r in score(parsed(spark, *plain), refs).orderBy("id").collect()]
+    got = score(parsed(spark, *rows).withColumn("id", F.col("id")), refs, id_col="n").orderBy("id").collect()
+    assert [r["frauds"] for r in got] == want
+    by_id = score(parsed(spark, *rows), refs).collect()
+    assert sorted((str(r["id"]), r["frauds"]) for r in by_id) == sorted((str(r["id"]), f) for r, f in zip(rows, want))
+    assert score(parsed(spark, *rows).limit(0), refs).count() == 0
 
 
 def test_references_and_evaluation_from_json(spark, tmp_path):
     (tmp_path / "refs.json").write_text(json.dumps([{"vector": [0.5] * 14, "label": "fraud"}, {"vector": [-1] * 15, "label": "legit", "x": 1}, {"vector": [1] * 13, "label": "fraud"}, {"label": "fraud"}, {"vector": [0] * 14}]))
     got = rq.read_references(spark, str(tmp_path / "refs.json")).orderBy("ref_id").collect()
-    assert [(r["q0"], r["q13"], r["label"]) for r in got] == [(5000, 5000, 1), (-10000, -10000, 0)]
+    assert [(r["ref_id"], r["q0"], r["q13"], r["label"]) for r in got] == [(0, -10000, -10000, 0), (1, 5000, 5000, 1)]  # in order of their values
     rq.write_references(rq.read_references(spark, str(tmp_path / "refs.json")), str(tmp_path / "t"))
     assert rq.open_references(spark, str(tmp_path / "t")).count() == 2
     (tmp_path / "e.json").write_text(json.dumps({"entries": [{"request": request(), "expected_approved": True, "expected_fraud_score": 0.2}], "stats": {}}))
     e = rq.read_evaluation(spark, str(tmp_path / "e.json")).first()
     assert e["expected_approved"] and e["transaction"]["installments"] == 3
-    (tmp_path / "log").write_text('k6-1  | {"a": 1}\nother | x\n')
-    assert [r["line"] for r in rq.read_result_log(spark, str(tmp_path / "log")).collect()] == ['{"a": 1}']
+    (tmp_path / "log").write_text('k6-1  | up\nk6-1  | {\nother | x\nk6-1  |   "a": 1\nk6-1  | }\nk6-1  | bye\n')
+    assert [r["line"] for r in rq.read_result_log(spark, str(tmp_path / "log")).collect()] == ["{", '  "a": 1', "}"]

@@ -11,7 +11,7 @@ from quintet.operators import calibrate as cal
 from quintet.operators import evaluate as ev
 from quintet.operators import index as ix
 from quintet.operators import knn
-from quintet.operators.kernel import Blocks, Clusters
+from quintet.operators.kernel import Blocks
 
 
 def brute(q, refs, ids, k=5):
@@ -72,11 +72,14 @@ def test_staged_search_is_exact_when_all_is_probed(spark):
     assert {r["qid"]: r["frauds"] for r in got.collect()} == want
 
 
-def test_clusters_repair_a_borderline_vote():
-    q = np.array([[0] * DIMS, [100] * DIMS, [3000] * DIMS, [3001] * DIMS, [3002] * DIMS, [3003] * DIMS, [3004] * DIMS])
-    c = Clusters(np.arange(7), q, np.array([1, 0, 1, 1, 1, 1, 1]), np.array([0, 0, 1, 1, 1, 1, 1]), np.array([[50] * DIMS, [3002] * DIMS]))
-    assert c.frauds(np.zeros(DIMS, np.int64), probes=1) == 4
-    assert c.frauds(np.full(DIMS, 3000), probes=1) == 5
+def test_clusters_repair_a_borderline_vote(spark):
+    q = [0, 100, 3000, 3001, 3002, 3003, 3004]
+    kinds = ", ".join(f"{x} smallint" for x in Q)
+    assigned = spark.createDataFrame([(i, label, cluster, *[v] * DIMS) for i, (v, label, cluster) in enumerate(zip(q, [1, 0, 1, 1, 1, 1, 1], [0, 0, 1, 1, 1, 1, 1]))], f"ref_id long, label int, cluster int, {kinds}")
+    centroids = spark.createDataFrame([(0, *[50] * DIMS), (1, *[3002] * DIMS)], "cluster int, " + ", ".join(f"c{i} int" for i in range(DIMS)))
+    queries = spark.createDataFrame([(1, *[0] * DIMS), (2, *[3000] * DIMS)], f"qid long, {kinds}")
+    got = ix.staged_votes(queries, assigned, centroids, probes=1)
+    assert {r["qid"]: r["frauds"] for r in got.collect()} == {1: 4, 2: 5}
 
 
 def test_calibration_and_cross_validation(spark):
@@ -118,6 +121,7 @@ def test_indexes_are_written(spark, tmp_path):
     ix.build_index(spark, refs, str(tmp_path / "kd"))
     back = spark.read.parquet(str(tmp_path / "kd/refs"))
     assert back.count() == 300 and {"leaf", "part", *Q} <= set(back.columns)
+    assert ix.open_index(spark, str(tmp_path / "kd")).rows == 300
     assert spark.read.parquet(str(tmp_path / "kd/partitions")).count() == 3
     ix.build_index(spark, refs, str(tmp_path / "ivf"), kind="ivf", clusters=4)
     boxes = spark.read.parquet(str(tmp_path / "ivf/boxes"))
@@ -132,7 +136,7 @@ def test_formats(spark):
         rs.human_duration(F.col("d")).alias("t0"), rs.human_duration(F.col("e")).alias("t1"), rs.human_duration(F.col("f")).alias("t2"),
         rs.trimmed_fixed(F.col("b")).alias("n0"), rs.trimmed_fixed(F.col("d")).alias("n1"), rs.percent_floor(F.lit(2), F.lit(3)).alias("p"),
     ).first()
-    assert tuple(row) == ("999 B", "1.5 kB", "2.5 MB", "500.00µs", "12.35ms", "1m15s", "1500", "0.5", 66.66)
+    assert tuple(row) == ("999 B", "1.5 kB", "2.5 MB", "500µs", "12.34ms", "1m15s", "1500", "0.5", 66.66)
 
 
 def test_probe_rank_refuses_what_it_cannot_send(spark, monkeypatch):
@@ -142,3 +146,100 @@ def test_probe_rank_refuses_what_it_cannot_send(spark, monkeypatch):
     with pytest.raises(ValueError):
         ix.probe_rank(queries, rows(4, "cluster", columns), 2)
     assert ix.probe_rank(queries, rows(3, "cluster", columns), 2).count() == 4
+
+
+def test_forest_equals_brute_force_with_many_ties(spark):
+    rng = np.random.default_rng(11)
+    n = 3000
+    q = rng.integers(0, 3, (n, DIMS)) * 100
+    q[:, 9] = rng.integers(0, 2, n) * 10000
+    ids = rng.permutation(n).astype(np.int64) * 300_000_007 - 2**40
+    part = (rng.random(n) < 0.2).astype(int)
+    refs = spark.createDataFrame([(int(i), int(p), 0, *map(int, v)) for i, p, v in zip(ids, part, q)], "ref_id long, part int, label int, " + ", ".join(f"{x} smallint" for x in Q))
+    want = {}
+
+    def cut(rows, p, node):
+        if len(rows) <= 40:
+            want.update({int(ids[r]): (p, node) for r in rows})
+            return
+        d = int((q[rows].max(0) - q[rows].min(0)).argmax())
+        rows = sorted(rows, key=lambda r: (q[r, d], ids[r]))
+        cut(rows[: len(rows) // 2], p, 2 * node)
+        cut(rows[len(rows) // 2 :], p, 2 * node + 1)
+
+    for p in (0, 1):
+        cut(list(np.flatnonzero(part == p)), p, 1)
+    for cell_rows in (5000, 700, 40):
+        leaves = ix.forest(refs, most=40, cell_rows=cell_rows)
+        rows = leaves.collect()
+        assert {r["ref_id"]: (r["part"], r["node"]) for r in rows} == want
+        sizes = {}
+        for r in rows:
+            sizes[r["cell"]] = sizes.get(r["cell"], 0) + 1
+        assert max(sizes.values()) <= cell_rows
+
+
+def test_indexes_are_searched(spark, tmp_path, monkeypatch):
+    refs = table(spark, 900, 21, 3000)
+    queries = table(spark, 60, 22, 3000).drop("label").withColumnRenamed("ref_id", "qid")
+    want = sorted(knn.exact_neighbours(queries, refs).collect())
+    said = ix.build_index(spark, refs, str(tmp_path / "kd"), cell_rows=128)
+    assert said["rows"] == 900 and said["most"] <= 128
+    index = ix.open_index(spark, str(tmp_path / "kd"))
+    assert len(index.cells.cell) >= 6
+    assert sorted(index.neighbours(queries, mode="broadcast").collect()) == want
+    assert sorted(index.neighbours(queries, mode="chunked").collect()) == want
+    monkeypatch.setattr(knn, "CELL_QUERIES", 5)
+    monkeypatch.setattr(knn.search_cells, "__defaults__", (5,))  # crowded cells are searched by several tasks
+    assert sorted(index.neighbours(queries, mode="chunked").collect()) == want
+    monkeypatch.undo()
+    votes = sorted(knn.votes(knn.exact_neighbours(queries, refs)).collect())
+    centres = spark.createDataFrame([(i, *map(int, np.random.default_rng(i).integers(0, 3000, DIMS))) for i in range(7)], "cluster int, " + ", ".join(f"c{i} int" for i in range(DIMS)))
+    ix.build_index(spark, refs, str(tmp_path / "ivf"), kind="ivf", centroids=centres, cell_rows=50)
+    clusters = ix.open_index(spark, str(tmp_path / "ivf"))
+    assert sorted(clusters.votes(queries, probes=7).collect()) == votes
+    assert clusters.votes(queries).count() == 60
+    assert 0 <= index.warm(20) <= 100 and 0 <= clusters.warm(20) <= 100
+    with pytest.raises(ValueError):
+        clusters.neighbours(queries)
+    spark.createDataFrame([("kd", 99, 1)], "kind string, version int, rows long").write.mode("overwrite").parquet(str(tmp_path / "kd/meta"))
+    with pytest.raises(ValueError):
+        ix.open_index(spark, str(tmp_path / "kd"))
+
+
+def test_what_is_sent_out_is_bounded(spark, monkeypatch):
+    refs = table(spark, 50, 23)
+    monkeypatch.setattr(knn, "BROADCAST_BYTES", 60 * 49)
+    with pytest.raises(ValueError):
+        knn.pack(refs)
+    queries = table(spark, 5, 24).drop("label").withColumnRenamed("ref_id", "qid")
+    assert sorted(knn.neighbours(queries, refs).collect()) == sorted(knn.exact_neighbours(queries, refs).collect())
+
+
+def test_kmeans_fills_empty_clusters(spark):
+    rows = [(i, *([0] * DIMS if i < 30 else [9000] * DIMS)) for i in range(60)] + [(60 + i, *[100 * i] * DIMS) for i in range(8)]
+    refs = spark.createDataFrame(rows, "ref_id long, " + ", ".join(f"{q} smallint" for q in Q))
+    got = ix.kmeans(refs, k=6, iterations=4).collect()
+    assert [r["cluster"] for r in got] == list(range(6))
+    assert ix.assign(refs, spark.createDataFrame(got)).select("cluster").distinct().count() >= 5
+
+
+@pytest.mark.parametrize("held", [10, 100, 10**6])
+def test_percentiles_of_any_size(spark, held):
+    rng = np.random.default_rng(12)
+    v = np.round(rng.gamma(2, 50, 3000), 2)
+    v[rng.random(3000) < 0.3] = 77.0
+    rows = spark.createDataFrame([(("a", None, "b")[min(2, i % 7)], float(x)) for i, x in enumerate(v)] + [("empty", None)], "k string, v double")
+    shares = [0.0, 0.31, 0.5, 0.99, 1.0]
+    got = {r["k"]: r["p"] for r in ev.percentiles(rows, "v", shares, ("k",), held).collect()}
+    for name, keep in (("a", [i % 7 == 0 for i in range(3000)]), (None, [i % 7 == 1 for i in range(3000)]), ("b", [i % 7 > 1 for i in range(3000)])):
+        assert got[name] == pytest.approx(np.quantile(v[keep], shares).tolist(), abs=1e-9)
+    assert ev.latency(rows, "v").first()["p99"] == pytest.approx(np.quantile(v, 0.99))
+    assert ev.latency(rows.limit(0), "v").first()["p99"] is None
+    assert ev.percentiles(rows.limit(0), "v", shares, ("k",), held).count() == 0
+
+
+def test_judged_predictions(spark):
+    expected = spark.createDataFrame([(1, True), (2, False), (3, True)], "entry_id long, expected boolean")
+    said = spark.createDataFrame([(1, True), (1, False), (2, True), (9, True)], "entry_id long, approved boolean")
+    assert sorted(tuple(r) for r in ev.judge(said, expected).collect()) == [(1, True, False), (2, False, True), (3, True, None)]
