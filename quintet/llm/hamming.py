@@ -1,11 +1,12 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code has the sign bits of a vector. Each shard of codes is indexed by the
+A code has the sign bits of a vector. Each shard of codes is indexed once, by the
 values of its segments. For a block of queries, buckets are probed in order of
 the radius within a segment, one segment after another. When segments up to j
 are probed to radius r and the others to r - 1, all codes within
 ``m * r + j`` bits are found (m segments, j from 0), so a query is done when its
-kth verified distance is no more than that. The best of all shards are merged.
+kth verified distance is no more than that. What a query finds in a sample of the codes bounds its kth distance from the start, so
+a shard is probed no further, and returns only what may be among the k best. The best of all shards are merged.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quintet.llm.common import materialize, new_dir
+from quintet.llm.common import materialize, new_dir, store
 
 K = 10
 EVERY = 50
-#: Queries sent out at once, codes of a shard, and candidates verified at once.
+#: Queries searched for at once, codes of a shard and of the sample that bounds distances, and candidates verified at once.
 QUERY_BLOCK = 16_384
 SHARD_CODES = 1 << 20
+SAMPLE_CODES = 1 << 17
 CANDIDATES = 1 << 20
 
 
@@ -80,12 +82,14 @@ class MultiIndex:
         for a, b in zip(self.edges, self.edges[1:], strict=False):
             yield bits[:, a:b] @ (1 << np.arange(b - a)[::-1])
 
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(query, distance, id)`` of the k nearest of each query, ties by id."""
+    def search(self, queries: np.ndarray, k: int, most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(query, distance, id)`` of the k nearest of each query, ties by id; only those at a distance of at most ``most``, if given."""
         q_words, q_segments = _words(queries), list(self.segments(queries))
         far = 8 * queries.shape[1] + 1
         best_d = np.full((len(queries), k), far, np.int32)
         best_row = np.full((len(queries), k), -1, np.int64)
+        if most is not None:
+            best_d[:] = most[:, None]
         active = np.arange(len(queries)) if self.n else np.zeros(0, np.int64)
         widest = max(b - a for a, b in zip(self.edges, self.edges[1:], strict=False))
         for r in range(widest + 1):
@@ -142,62 +146,76 @@ class MultiIndex:
         best_d[q[top], rank[top]], best_row[q[top], rank[top]] = d[top], row[top]
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = 64, query_block: int = QUERY_BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _held(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches together that have so many rows."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Binary values of one length as rows of bytes."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, bits: int = 64, query_block: int = QUERY_BLOCK, sample: int = SAMPLE_CODES, shard: int = SHARD_CODES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, distance)``: the k codes nearest to each query, itself included, ties by vec_id.
 
     Queries are the rows whose id is divisible by ``every``; one for each
-    distinct id and code. They go out in blocks of bounded size, against all codes. Repeated rows are
+    distinct id and code. They lie in the shared folder, and each shard's task reads them in blocks, against its one index. The
+    sample that bounds distances, about ``sample`` codes of least hash and twice that at most, is the only thing sent out. Repeated rows are
     neighbours each. With fewer than k codes all are returned; an empty table
     gives an empty one. Other columns are not read.
     """
     spark = vectors.sparkSession
     codes = materialize(sign_codes(vectors, bits, id_col, vector_col), "codes")
-    path = new_dir(spark, "nearest")
-    schema = "query_id long, q binary, distance int, vec_id long"
-
-    def near(block: list[tuple[int, bytes]]) -> None:
-        sent = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), np.frombuffer(b"".join(c for _, c in block), np.uint8).reshape(len(block), -1)))
+    n = codes.count()
+    near = codes if n <= sample else codes.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * sample / n)).limit(2 * sample)
+    t = near.toArrow()
+    sent = spark.sparkContext.broadcast((_codes(t.column(1)) if t.num_rows else np.zeros((0, -(-bits // 8)), np.uint8), t.column(0).to_numpy()))
+    path = new_dir(spark, "queries")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = MultiIndex(*sent.value)
+        for t in _held(batches, query_block):
+            for a in range(0, t.num_rows, query_block):
+                part = t.slice(a, query_block)
+                q, d, _ = index.search(_codes(part.column(1)), k)
+                count, last = np.bincount(q, minlength=part.num_rows), np.zeros(part.num_rows, np.int32)
+                np.maximum.at(last, q, d)
+                most = np.where(count == k, last, bits + 8)  # a sample with fewer than k codes bounds nothing
+                yield pa.RecordBatch.from_arrays([part.column(0).combine_chunks(), part.column(1).combine_chunks(), pa.array(most.astype(np.int32))], ["query_id", "q", "most"])
+
+    asked = codes.where(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), F.col("code").alias("q"))
+    asked.mapInArrow(bound, "query_id long, q binary, most int").write.parquet(path)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, queries = sent.value
-
-            def shard(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-                t = pa.Table.from_batches(held)
-                data = np.frombuffer(b"".join(t.column(1).to_pylist()), np.uint8).reshape(t.num_rows, -1)
-                q, d, found = MultiIndex(data, t.column(0).to_numpy()).search(queries, k)
-                return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array([queries[x].tobytes() for x in q.tolist()], pa.binary()), pa.array(d, pa.int32()), pa.array(found, pa.int64())], ["query_id", "q", "distance", "vec_id"])
-
-            held, n = [], 0
-            for b in batches:
-                if b.num_rows:
-                    held.append(b)
-                    n += b.num_rows
-                if n >= SHARD_CODES:
-                    yield shard(held)
-                    held, n = [], 0
-            if held:
-                yield shard(held)
-
-        codes.mapInArrow(run, schema).write.mode("append").parquet(path)
-
-    block: list[tuple[int, bytes]] = []
-    for r in codes.where(F.col("vec_id") % every == 0).distinct().toLocalIterator():
-        block.append((r["vec_id"], bytes(r["code"])))
-        if len(block) == query_block:
-            near(block)
-            block = []
-    if block:
-        near(block)
-    found = spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        system, folder = store(path)
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet"))
+        for t in _held(batches, shard):
+            index = MultiIndex(_codes(t.column(1)), t.column(0).to_numpy())
+            for name in files:
+                with system.open_input_file(name) as f:
+                    for b in pq.ParquetFile(f).iter_batches(query_block):
+                        ids, own, most = b.column(0).to_numpy(), b.column(1), b.column(2).to_numpy()
+                        q, d, found = index.search(_codes(own), k, most)
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), own.take(pa.array(q)).cast(pa.binary()), pa.array(d, pa.int32()), pa.array(found, pa.int64())], ["query_id", "q", "distance", "vec_id"])
+
+    found = materialize(codes.mapInArrow(run, "query_id long, q binary, distance int, vec_id long"), "nearest")
     order = W.partitionBy("query_id", "q").orderBy("distance", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")
 
 
-def _exists(spark, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 #: DuckDB SQL of ``top_k`` with its defaults.
 TOP_K_SQL = """
 WITH c AS (

@@ -24,9 +24,9 @@ def test_vectors(spark):
     rows += [(None, [1.0] * 64, "x"), (130, None, "x"), (150, [], "x"), (200, [float("nan"), None, 2.0], "x"), (7, rows[7][1], "x"), (50, rows[50][1], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, distance string")
     coded = [(i, sum(1 << k for k, x in enumerate(v[:64]) if x is not None and x > 0)) for i, v, _ in rows if i is not None and v is not None]
-    for block in (16_384, 2):
+    for options in ({}, {"query_block": 2}, {"sample": 20, "shard": 30}, {"sample": 4, "shard": 7, "query_block": 2}):
         got = {}
-        for r in hm.top_k(df, query_block=block).collect():
+        for r in hm.top_k(df, **options).collect():
             got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["vec_id"]))
         assert set(got) == {0, 50, 100, 150, 200}
         for i, code in coded:
