@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quintet.llm import rans
-from quintet.llm.common import new_dir, partitions_for, put_file, by_bytes
+from quintet.llm.common import materialize, new_dir, partitions_for, put_file
 
 END_ID = 2
 #: Tokens of a file, about; and input bytes of a range.
@@ -127,13 +128,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, dict[str, int]]:
-    """Write ``*.rans`` files to a new folder of the shared store; returns it, and the tokens before each file.
+def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID, range_bytes: int = RANGE_BYTES, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[str, DataFrame]:
+    """Write ``*.rans`` files to a new folder of the shared store; returns it, and a table ``(name, part, n)`` of the files' tokens.
 
     Documents lie in ascending order of doc_id over the files in order of
     name, null ids first, ties by a hash of the text; each ends with ``end_id``.
-    A null text is empty. ``path`` is the tokenizer's file, which every worker
-    can read. Only a file's name and number of tokens come to the driver.
+    A null text is empty; rows that repeat an id are documents each. ``path`` is the tokenizer's file, which every worker
+    can read. Other columns are not read. An empty table gives a file without documents.
     """
     path = path or default_path()
     spark = docs.sparkSession
@@ -149,7 +150,8 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
         counts: list[int] = []
         held: list[bytes] = []
         size = 0
-        names, sizes = [], []
+        names: list[str] = []
+        sizes: list[int] = []
 
         def flush() -> None:
             nonlocal k, size
@@ -172,22 +174,29 @@ def write_tokens(docs: DataFrame, path: str | None = None, end_id: int = END_ID,
                     flush()
         if ids:
             flush()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "n"])
-
-    files = sorted(rows.mapInArrow(run, "name string, n long").collect())
-    before, at = {}, 0
-    for name, size in files:
-        before[name] = at
-        at += size
-    if not files:
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([part] * len(names), pa.int64()), pa.array(sizes, pa.int64())], ["name", "part", "n"])
+
+    files = materialize(rows.mapInArrow(run, "name string, part long, n long"), "files")
+    if files.isEmpty():
         put_file(folder, "part-none.rans", rans.encode(np.zeros(0, np.uint32), [], []))
-        before["part-none.rans"] = 0
-    return folder, before
+    return folder, files
+
+
+def tokens_before(files: DataFrame, run: int = 1000) -> DataFrame:
+    """``(name, before)``: the tokens of all files before each, in order of name, by sums of runs of parts and sums within a run."""
+    block = F.floor(F.col("part") / run)
+    per = files.groupBy(block.alias("b")).agg(F.sum("n").alias("n"))  # a row for each thousand tasks
+    earlier = per.select("b", F.coalesce(F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("earlier"))
+    own = F.coalesce(F.sum("n").over(W.partitionBy("b").orderBy("name").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return files.withColumn("b", block).withColumn("own", own).join(earlier, "b").select("name", (F.col("earlier") + F.col("own")).alias("before"))
 
 
-def read_tokens(spark, folder: str, before: dict[str, int], with_ids: bool = False) -> DataFrame:
-    """``(doc_id, start, n_tokens, ids_crc32)`` of the documents of a folder's files, and their ``ids`` if asked for."""
-    sent = spark.sparkContext.broadcast(before)
+def read_tokens(spark, folder: str, files: DataFrame, with_ids: bool = False) -> DataFrame:
+    """``(doc_id, start, n_tokens, ids_crc32)`` of the documents of a folder's files, and their ``ids`` if asked for.
+
+    ``files`` is the table that ``write_tokens`` returns. Documents come one by one, repeated ids and null ids too; a file
+    without documents, as of an empty table, gives none. Raises ValueError where a checksum differs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -198,10 +207,12 @@ def read_tokens(spark, folder: str, before: dict[str, int], with_ids: bool = Fal
                 starts = ends - file.doc_tokens.astype(np.int64)
                 raw = memoryview(tokens.tobytes())
                 crcs = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                arrays = [pa.array(file.doc_ids, pa.int64()), pa.array(starts + sent.value[name], pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())]
+                arrays = [pa.array([name] * len(crcs), pa.string()), pa.array(file.doc_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(ends - starts, pa.int64()), pa.array(crcs, pa.int64())]
                 if with_ids:
                     arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(tokens.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(arrays, ["name", "doc_id", "within", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.rans").load(folder)
+    found = content.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, "name string, doc_id long, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    start = (F.col("before") + F.col("within")).alias("start")
+    return found.join(tokens_before(files), "name").select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
