@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -71,3 +72,15 @@ def test_documents(spark):
     assert dc.drop_contaminated(docs, bench).columns == docs.columns
     assert dc.find_passages(docs, bench.limit(0)).where("n_hit > 0").count() == 0
     assert dc.find_passages(docs.limit(0), bench).count() == 0
+    assert dc.drop_contaminated(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_items_keep_their_type(spark):
+    items, texts = cases()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(f"q-{i}" if i is not None else None, t) for i, t in items], "item_id string, text string")
+    found = dc.find_passages(docs, bench)
+    want = {i: sorted(f"q-{x}" for x in brute(t, items)[2]) for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["items"] for r in found.collect()} == want
+    digest = {r["doc_id"]: r["d"] for r in found.select("doc_id", dc.items_sha256(found["items"]).alias("d")).collect()}
+    assert digest == {i: hashlib.sha256(",".join(x).encode()).hexdigest() for i, x in want.items()}
