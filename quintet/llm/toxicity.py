@@ -5,9 +5,11 @@ logistic function of threshold k less the score. Features are words and
 their first four and five characters, which inflected forms share. The model is fitted
 on a bounded sample of labelled rows; every document is scored.
 
-``labels`` only say toxic or not. Severity of a toxic training row is graded
-by its markers: the words and beginnings that stand in toxic rows almost
-only. Rows with fewer distinct markers than the median have grade 1, others 2.
+``labels`` only say toxic or not, so nothing in the data grades severity: the grades 1 and 2 are a proxy. They are made by
+markers, the words that stand in toxic training rows almost only: toxic rows with as many
+distinct ones as the median, or fewer, have grade 1, others 2. The first threshold, which ``toxic`` and ``drop_toxic``
+go by, rests on the labels alone; the second orders documents by how much of the vocabulary of toxic rows they have. Both are held against labelled
+rows that were not trained on (``held_out``).
 """
 
 from __future__ import annotations
@@ -123,14 +125,16 @@ class OrdinalModel:
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, model_features: int = MODEL_FEATURES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> OrdinalModel:
     """Fit on at most ``train_rows`` labelled documents; what comes to the driver is bounded by the two limits.
 
-    Rows without an id, a label or a document are left out of the sample.
-    Labels other than 0 count as toxic. With no labels, or labels of one kind,
-    the model has no weights.
+    Rows without an id, a label or a document are left out of the sample. Labels other than 0 count as toxic, and a
+    document that has labels of both kinds does too. Of documents that repeat an id the one of the least text hash, then text,
+    is taken; a null text counts as empty. With no labels, or labels of one kind, the model has no weights. So the result is the
+    same whatever the order of the rows.
     """
     spark = docs.sparkSession
-    sample = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) != 0).cast("int").alias("toxic")).dropna().dropDuplicates(["id"])
+    sample = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(label_col) != 0).cast("int").alias("toxic")).dropna().groupBy("id").agg(F.max("toxic").alias("toxic"))
     sample = sample.orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("id", "toxic", F.col("least.text").alias("text"))
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches):
@@ -160,12 +164,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, mode
     return OrdinalModel.fit(rows, [0 if not r["toxic"] else 2 if x > middle else 1 for x, r in zip(load, got, strict=True)])
 
 
-def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), probability: bool = False) -> DataFrame:
     """``(doc_id, expected_severity, grade, toxic)`` for every row of ``docs``, and its columns ``keep``.
 
     expected_severity is the mean of the grade, grade its most likely value, and
     toxic says that grade 1 or more is at least as likely as 0. A null or empty
-    text has no features. Other columns are not read.
+    text has no features. Rows are judged one by one, repeated ids and null ids too. An empty table gives an empty one. Other columns are not read. With ``probability``
+    there is ``p_toxic``, that of grade 1 or more.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -175,14 +180,19 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
             above = m.at_least(np.array([m.score(t) for t in b.column(1).to_pylist()]))
             each = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
             arrays = [pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32) if len(each) else np.zeros(0, np.int32)), pa.array(above[:, 0] >= 0.5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays, *b.columns[2:]], ["doc_id", "expected_severity", "grade", "toxic", *keep])
+            more = [pa.array(np.ascontiguousarray(above[:, 0]))] if probability else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays, *b.columns[2:], *more], ["doc_id", "expected_severity", "grade", "toxic", *keep, *["p_toxic"] * probability])
 
-    more = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), *(F.col(c) for c in keep)).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean" + more)
+    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("body"), *(F.col(c) for c in keep)).mapInArrow(run, "doc_id long, expected_severity double, grade int, toxic boolean" + kinds + ", p_toxic double" * probability)
 
 
 def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all its columns, that the model does not call toxic."""
+    """The rows of ``docs``, with all its columns, that the model does not call toxic.
+
+    Rows are judged one by one, so rows that repeat an id are kept or dropped each by its text; null and empty texts have no
+    features, and are kept unless most of the training rows were toxic. An empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -193,3 +203,17 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
                 yield b.filter(pa.array(m.at_least(np.array([m.score(t) for t in b.column(at).to_pylist()]))[:, 0] < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def held_out(docs: DataFrame, labels: DataFrame, folds: int = 5, **options) -> DataFrame:
+    """``(n, toxic, predicted, accuracy, precision, recall, brier)`` of the first threshold on labelled rows that the model was not fitted on.
+
+    One fold in ``folds``, by a hash of the id, is held out. ``toxic`` is its share of toxic rows, ``predicted`` the mean probability that
+    the model gives them, ``brier`` the mean squared error of the probability.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).cast("int").alias("said")).dropna().groupBy("doc_id").agg(F.max("said").alias("said"))
+    test = F.pmod(F.xxhash64("doc_id"), F.lit(folds)) == 0
+    found = score(docs, train(docs, rows.where(~test).withColumnRenamed("said", "toxic"), **options), probability=True).join(rows.where(test), "doc_id")
+    said, toxic = F.col("said") == 1, F.col("toxic")
+    right = F.count_if(said & toxic)
+    return found.agg(F.count("*").alias("n"), F.avg("said").alias("toxic"), F.avg("p_toxic").alias("predicted"), F.avg((toxic == said).cast("double")).alias("accuracy"), F.try_divide(right, F.count_if(toxic)).alias("precision"), F.try_divide(right, F.count_if(said)).alias("recall"), F.avg((F.col("p_toxic") - F.col("said")) ** 2).alias("brier"))

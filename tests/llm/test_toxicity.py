@@ -51,3 +51,44 @@ def test_held_out_accuracy(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r["toxic"] for r in got)
     assert not tx.score(docs, tx.train(docs, labels.limit(0))).where("toxic").count()
     assert tx.score(docs.limit(0), model).count() == 0
+
+
+def test_scores_equal_the_formula(spark):
+    import math
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = tx.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert model.weights
+    got = {r["doc_id"]: r for r in tx.score(docs, model, probability=True).collect()}
+    for r in docs.collect():
+        count = {}
+        for w in re.findall(r"[a-z\x80-\U0010ffff]+", (r["text"] or "").lower()):
+            for f in [w, *(w[:k] + "*" for k in (4, 5) if len(w) >= k)]:
+                count[f] = count.get(f, 0) + 1
+        z = sum(model.weights.get(f, 0.0) * (1 + math.log(n)) for f, n in count.items())
+        above = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        each = [1 - above[0], above[0] - above[1], above[1]]
+        row = got[r["doc_id"]]
+        assert abs(row["expected_severity"] - sum(above)) < 1e-9 and abs(row["p_toxic"] - above[0]) < 1e-9
+        assert row["grade"] == max(range(3), key=lambda k: (each[k], -k)) and row["toxic"] == (above[0] >= 0.5)
+
+
+def test_conflicting_rows_make_one_model(spark):
+    texts = [f"calm words number {i} here" if i % 3 else f"vile scorn number {i} insult" for i in range(90)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(3, "calm"), (3, "another text of three"), (4, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(90)] + [(6, 0), (7, 1), (8, None)]
+    models = []
+    for turn in (1, -1):
+        d, label = (spark.createDataFrame(x[::turn], s).repartition(3) for x, s in ((docs, "doc_id long, text string"), (labels, "doc_id long, toxic int")))
+        models.append(tx.train(d, label))
+    assert models[0].weights == models[1].weights and models[0].weights
+    assert (models[0].thresholds == models[1].thresholds).all()
+
+
+def test_held_out_rows_of_the_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    row = tx.held_out(docs, labels).first()
+    print(row)
+    assert row["n"] > 300 and row["accuracy"] > 0.97 and row["recall"] > 0.9 and row["precision"] > 0.9
+    assert abs(row["predicted"] - row["toxic"]) < 0.03 and row["brier"] < 0.03
