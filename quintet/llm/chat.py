@@ -39,7 +39,7 @@ def escape(text: str | None, controls: tuple[str, ...] = CONTROLS) -> str:
 
 
 def escape_name(role: str | None) -> str:
-    return escape(role, (":", "\n"))
+    return escape(role, (*CONTROLS, ":", "\n"))
 
 
 def unescape(text: str) -> str:
@@ -130,7 +130,9 @@ def format_conversations(rows: DataFrame, template: str = TEMPLATE, part_chars:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Per conversation, from its formatted parts as ``format_conversations`` gives them: turns, loss text and size.
 
-    ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``.
+    ``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``. Rows of null conv_ids are one conversation;
+    a conversation without loss text has the digest of the empty text; an empty table gives an empty one. Raises ValueError
+    for text that is not formatted so.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +183,6 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(COALESCE(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
   sha256(COALESCE(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
-  CAST(sum(20 + length({_sql_escape('role', (':', chr(10)))}) + length({_sql_escape('text', CONTROLS)})) AS BIGINT) AS formatted_chars
+  CAST(sum(20 + length({_sql_escape('role', (*CONTROLS, ':', chr(10)))}) + length({_sql_escape('text', CONTROLS)})) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id
 """

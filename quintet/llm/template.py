@@ -11,6 +11,9 @@ from a given table; nothing else can be called. In a loop ``loop.first``,
 ``loop.last``, ``loop.index0`` and ``loop.index`` are known. A loop reads its list lazily,
 one item ahead, so it may be a stream.
 
+``*`` and ``%`` take numbers only, and joined texts are bounded, so a short
+template can't make a long text of little.
+
 A template is parsed to a syntax tree, its constants are folded, and each
 node becomes a closure. Rendering yields ``(text, generated)`` pieces;
 ``generated`` is true inside a generation block.
@@ -29,14 +32,40 @@ Scope = dict[str, Any]
 _TAG = re.compile(r"\{\{.*?\}\}|\{%.*?%\}|\{#.*?#\}", re.S)
 _TOKEN = re.compile(r"""\s*(?:(?P<str>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<num>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+*%~<>|.,()\[\]=]))""", re.S)
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
-_BINARY = {"+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "~": lambda a, b: _text(a) + _text(b), "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b, "not in": lambda a, b: a not in b}
-_LEVELS = (("==", "!=", "<", "<=", ">", ">=", "in", "not in"), ("~",), ("+", "-"), ("*", "%"))
+#: Characters of a text that an expression may make, and of one that is made when a template is compiled.
+MOST_CHARS, FOLDED_CHARS = 1 << 28, 1 << 16
 
 
 class TemplateError(ValueError):
     pass
 
 
+def _joined(a: Any, b: Any) -> str:
+    a, b = _text(a), _text(b)
+    if len(a) + len(b) > MOST_CHARS:
+        raise TemplateError(f"a text of over {MOST_CHARS} characters")
+    return a + b
+
+
+def _numbers(f: Callable[[Any, Any], Any]) -> Callable[[Any, Any], Any]:
+    """An operator of numbers only: texts are neither repeated nor formatted, so no expression makes more than it has."""
+
+    def run(a: Any, b: Any) -> Any:
+        if not isinstance(a, (int, float)) or not isinstance(b, (int, float)):
+            raise TypeError("not a number")
+        return f(a, b)
+
+    return run
+
+
+def _add(a: Any, b: Any) -> Any:
+    return _joined(a, b) if isinstance(a, str) and isinstance(b, str) else _numbers(operator.add)(a, b)
+
+
+_BINARY = {"+": _add, "-": _numbers(operator.sub), "*": _numbers(operator.mul), "%": _numbers(operator.mod), "~": _joined, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b, "not in": lambda a, b: a not in b}
+_LEVELS = (("==", "!=", "<", "<=", ">", ">=", "in", "not in"), ("~",), ("+", "-"), ("*", "%"))
+
+
 class _Undefined:
     def __bool__(self) -> bool:
         return False
@@ -244,6 +273,15 @@ def parse(source: str) -> list[tuple]:
     return body()[0]
 
 
+def _worked_out(value: Callable[[], Any], node: tuple) -> tuple:
+    """A constant, or the node as it is if its value is too long, or fails: then it fails when it is rendered, if it is."""
+    try:
+        x = value()
+    except (TypeError, ValueError, ArithmeticError, LookupError, AttributeError):
+        return node
+    return node if isinstance(x, str) and len(x) > FOLDED_CHARS else ("const", x)
+
+
 def _fold_expression(node: tuple, filters: Filters) -> tuple:
     """The same expression with what only depends on constants worked out."""
     kind = node[0]
@@ -253,14 +291,13 @@ def _fold_expression(node: tuple, filters: Filters) -> tuple:
         if node[1] not in filters:
             raise TemplateError(f"unknown filter {node[1]!r}")
         args = [_fold_expression(a, filters) for a in node[2]]
-        return ("const", filters[node[1]](*(a[1] for a in args))) if all(a[0] == "const" for a in args) else ("filter", node[1], args)
+        if all(a[0] == "const" for a in args):
+            return _worked_out(lambda: filters[node[1]](*(a[1] for a in args)), ("filter", node[1], args))
+        return ("filter", node[1], args)
     if kind == "binary":
         a, b = (_fold_expression(x, filters) for x in node[2:])
         if a[0] == b[0] == "const":
-            try:
-                return ("const", _BINARY[node[1]](a[1], b[1]))
-            except (TypeError, ZeroDivisionError):
-                pass  # fails when it is rendered, if it is
+            return _worked_out(lambda: _BINARY[node[1]](a[1], b[1]), ("binary", node[1], a, b))
         return ("binary", node[1], a, b)
     parts = [_fold_expression(x, filters) for x in node[1:]]
     first = parts[0]
