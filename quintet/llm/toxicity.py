@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """``(doc_id, expected_severity, grade, toxic)`` for every row of ``docs``, and its columns ``keep``.
 
     expected_severity is the mean of the grade, grade its most likely value, and
-    toxic says that grade 1 or more is at least as likely as 0. A null or empty
+    toxic says that grade 1 or more is more likely than 0. A null or empty
     text has no features. Rows are judged one by one, repeated ids and null ids too. An empty table gives an empty one. Other columns are not read. With ``probability``
     there is ``p_toxic``, that of grade 1 or more.
     """
@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         for b in by_bytes(batches):
             above = m.at_least(np.array([m.score(t) for t in b.column(1).to_pylist()]))
             each = -np.diff(np.concatenate((np.ones((len(above), 1)), above, np.zeros((len(above), 1))), axis=1), axis=1)
-            arrays = [pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32) if len(each) else np.zeros(0, np.int32)), pa.array(above[:, 0] >= 0.5)]
+            arrays = [pa.array(above.sum(1)), pa.array(each.argmax(1).astype(np.int32) if len(each) else np.zeros(0, np.int32)), pa.array(above[:, 0] > 0.5)]
             more = [pa.array(np.ascontiguousarray(above[:, 0]))] if probability else []
             yield pa.RecordBatch.from_arrays([b.column(0), *arrays, *b.columns[2:], *more], ["doc_id", "expected_severity", "grade", "toxic", *keep, *["p_toxic"] * probability])
 
@@ -200,7 +200,7 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text") ->
         m = sent.value
         for b in by_bytes(batches):
             if b.num_rows:
-                yield b.filter(pa.array(m.at_least(np.array([m.score(t) for t in b.column(at).to_pylist()]))[:, 0] < 0.5))
+                yield b.filter(pa.array(m.at_least(np.array([m.score(t) for t in b.column(at).to_pylist()]))[:, 0] <= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -125,8 +125,18 @@ class _Inflate:
         return got
 
 
-def read_records(read: Callable[[int], bytes], verify: bool = True) -> Iterator[Record]:
-    """The records of a stream, in order; ``read(n)`` gives its next n bytes or fewer. Raises ValueError for damage."""
+    def at_edge(self) -> bool:
+        """Whether a gzip member ends here."""
+        while self.zipped and not self.out and not self.member.eof and self.more():
+            pass
+        return not self.out and (not self.zipped or self.member.eof)
+
+
+def read_records(read: Callable[[int], bytes], verify: bool = True, one_each: bool = False) -> Iterator[Record]:
+    """The records of a stream, in order; ``read(n)`` gives its next n bytes or fewer. Raises ValueError for damage.
+
+    With ``one_each`` a record must end its gzip member, as in archives that are read from any record on.
+    """
     stream = _Inflate(read)
     while (head := stream.until(b"\r\n\r\n")) is not None:
         lines = head.decode("utf-8", "replace").split("\r\n")
@@ -136,6 +146,8 @@ def read_records(read: Callable[[int], bytes], verify: bool = True) -> Iterator[
         record = Record(headers["warc-type"], headers, stream.exactly(int(headers["content-length"])))
         if stream.exactly(4) != b"\r\n\r\n":
             raise ValueError("a block is longer than its Content-Length")
+        if one_each and not stream.at_edge():
+            raise ValueError("a gzip member has more than a record")
         if verify and headers.get("warc-block-digest", said := f"sha1:{sha1(record.block)}") != said:
             raise ValueError("block digest differs")
         if verify and record.kind == "response" and headers.get("warc-payload-digest", said := f"sha1:{sha1(record.http[1])}") != said:
@@ -179,14 +191,19 @@ def write_pages(pages: DataFrame, least_bytes: int = 0, level: int = 4, id_col:
 
 
 def read_pages(spark, folder: str) -> DataFrame:
-    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)`` of the archives of a folder."""
+    """``(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to)`` of the archives of a folder.
+
+    A row for each response or revisit, repeated ids too; a null id is null, a record without a URL has none. A revisit
+    has no payload, but its size and digest. Archives without such records give none. Spark hands an archive, of about ``FILE_BYTES`` compressed or one
+    record, over whole; the reader inflates it piece by piece. Raises ValueError for damage.
+    """
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 out, size = [], 0
-                for r in read_records(pa.BufferReader(content.as_buffer()).read):
+                for r in read_records(pa.BufferReader(content.as_buffer()).read, one_each=True):
                     if r.kind not in ("response", "revisit"):
                         continue
                     http, body = r.http

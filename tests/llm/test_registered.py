@@ -67,3 +67,30 @@ def test_one_of_each_group_stays_with_repeats_and_null_ids(spark):
     rows = [(5, "same text here for all"), (3, "same text here for all"), (3, "same text here for all"), (None, "same text here for all"), (9, "another one entirely, with words")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in simhash.keep_one_of_each(docs).collect()) == ["3", "9", "None"]
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_with_nulls_repeats_other_columns_and_empty_tables(spark, tmp_path, empty):
+    long = "A very long text without any white space: " + "x" * 300_000
+    rows = [(1, "calm words of one document here", "en", "a", 5), (1, "calm words of one document here", "en", "a", 5), (None, "no id at all, but a text of its own", None, None, None), (3, None, "en", "b", 0), (4, "", "en", None, 0), (5, " \n\t ", "xx", "b", 3), (6, long, "en", "a", 9), (7, long + " y", "en", "a", 9), (8, "What is the capital city of that far country, asked the teacher of the class again?", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("fp", "pair", "bucket", "size", "copies", "key", "component_id", "toxic", "start", "_id"):
+        docs = docs.withColumn(c, docs["n_chars"])
+    bench = spark.createDataFrame([(1, "What is the capital city of that far country, asked the teacher of the class again?"), (2, None), (None, "")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 0), (3, None, 1), (None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
+    for name, df in (("documents", docs), ("benchmark", bench), ("labels", labels)):
+        (df.limit(0) if empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = docs.limit(0) if empty else docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path)).cache()
+        assert kept.columns == docs.columns, name
+        ids = [r["doc_id"] for r in kept.collect()]
+        if empty:
+            assert ids == []
+        elif name == "simhash":
+            assert ids.count(1) == 1 and None in ids and 3 in ids and 4 not in ids and 5 not in ids
+        elif name == "decontamination":
+            assert 8 not in ids and {1, 3} <= set(ids)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert not got if empty else {r["doc_id"] for r in got} >= {None, 1}
+    assert all(r["n_tokens"] > 0 for r in got)

@@ -71,7 +71,7 @@ def test_scores_equal_the_formula(spark):
         each = [1 - above[0], above[0] - above[1], above[1]]
         row = got[r["doc_id"]]
         assert abs(row["expected_severity"] - sum(above)) < 1e-9 and abs(row["p_toxic"] - above[0]) < 1e-9
-        assert row["grade"] == max(range(3), key=lambda k: (each[k], -k)) and row["toxic"] == (above[0] >= 0.5)
+        assert row["grade"] == max(range(3), key=lambda k: (each[k], -k)) and row["toxic"] == (above[0] > 0.5)
 
 
 def test_conflicting_rows_make_one_model(spark):

@@ -29,6 +29,15 @@ def test_plain_and_joined_members_are_read():
     assert [r.block for r in records(plain)] == [r.block for r in records(gzip.compress(plain))] == [r.block for r in records(data)]
 
 
+def test_members_of_one_record():
+    pages = [warc.page_record(i, "u", b"x" * i * 40_000, None) for i in range(4)]
+    assert len(records(b"".join(pages), one_each=True)) == 4
+    two = gzip.compress(gzip.decompress(pages[1] + pages[2]))
+    assert len(records(pages[0] + two)) == 3
+    with pytest.raises(ValueError):
+        records(pages[0] + two, one_each=True)
+
+
 def test_damage_is_noticed():
     data = warc.page_record(1, "u", b"payload " * 100, None)
     plain = gzip.decompress(data)
