@@ -12,7 +12,9 @@ import json
 import os
 import re
 import string
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,13 @@ RANGE_BYTES = 8 << 20
 #: Pieces whose ids a Python worker keeps, and the longest it keeps.
 KEPT_PIECES = 700_000
 KEPT_CHARS = 48
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 #: White space of the pre-tokenizer; Python's also has \x1c-\x1f.
 _W = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_UNEVEN = re.compile(r"\s\s|[^\S \n]")
+#: What a text of lines of words, with one space or line feed between any two, has not.
+_UNEVEN = ("  ", " \n", "\n ", "\n\n", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
+_UNEVEN_WIDE = (*"\x85\xa0\u1680", *map(chr, range(0x2000, 0x200B)), *"\u2028\u2029\u202f\u205f\u3000")
 _PIECE = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]+")
 
 
@@ -57,15 +62,23 @@ class _Pieces(dict):
 
     def __init__(self, tokenizer, prefix: str, marks: _Pieces | None = None):
         self.tokenizer, self.model, self.prefix, self.marks, self.missed = tokenizer, tokenizer.model, prefix, marks, 0
+        self.lead = prefix.translate(self.letters)
+
+    def word(self, word: str) -> bytes:
+        """Ids of letters by the model alone; ASCII letters are written as they are."""
+        text = self.lead + word if word.isascii() else self.lead + word.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.model.tokenize(text)])
+        return ids.tobytes() if LITTLE else np.array(ids, "<u4").tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece.rstrip(string.punctuation)
-        if self.marks is None or not word.isalpha():
-            ids = np.array(self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
-        elif len(word) < len(piece):
-            ids = self[word] + self.marks[piece[len(word) :]]
+        if self.marks is not None and piece.isalpha():
+            ids = self.word(piece)
         else:
-            ids = np.array([t.id for t in self.model.tokenize((self.prefix + word).encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+            word = piece.rstrip(string.punctuation)
+            if self.marks is None or len(word) == len(piece) or not word.isalpha():
+                ids = np.array(self.tokenizer.encode(self.prefix + piece, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                ids = self[word] + self.marks[piece[len(word) :]]
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT_PIECES:
                 self.missed += 1
@@ -103,7 +116,7 @@ class Encoder:
             return b""
         if not self.cuts or any(s in text for s in self.special):
             return np.array(self.whole(text), "<u4").tobytes()
-        if _UNEVEN.search(text):
+        if any(x in text for x in _UNEVEN) or not text.isascii() and any(x in text for x in _UNEVEN_WIDE):
             return b"".join(map(self.segments.__getitem__, _PIECE.findall(text)))
         spaced, out = self.spaced.__getitem__, []
         for line in text.split("\n"):
