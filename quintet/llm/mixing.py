@@ -1,8 +1,8 @@
 """Mixing sources to target weights by hash order and distributed prefix sums; DataFrame operations only.
 
 A document's key is the MD5 of its id and a seed, so reruns agree. Keys cut
-the unit interval of each source in ranges, about ``ranges`` in all and more
-for a larger source, so a hot one is split as well. Ranges are
+the unit interval of each source in ranges, about ``ranges`` in all, more
+for a larger source, so a hot one is split as well, and more for a large table. Ranges are
 sorted on their own; the words before a range are a prefix sum over ranges,
 those before a document one within its range. Sizes and keys are written to
 the shared folder once, as three steps read them.
@@ -19,8 +19,11 @@ from quintet.llm.common import SPACE_WORD, materialize
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
-#: Ranges of keys over all sources, about; the table of their sums has a row for each.
+#: Ranges of keys over all sources, about, and documents of a range on average at most: beyond both products there are more ranges.
+#: Their sums are added up in blocks of so many, and then over blocks.
 RANGES = 16_384
+RANGE_DOCS = 100_000
+BLOCK = 128
 
 
 def n_words(text: Column) -> Column:
@@ -66,11 +69,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     sized = materialize(sized, "sizes")
     goal = targets(sized, weights, share, cap)
     at = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"]), "inner").drop(goal["source"]).withColumn("bucket", F.floor(at * F.ceil(F.col("n_docs") * F.lit(float(ranges)) / F.col("all_docs"))).cast("long"))
+    placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"]), "inner").drop(goal["source"]).withColumn("bucket", F.floor(at * F.ceil(F.col("n_docs") * F.greatest(F.lit(float(ranges)), F.col("all_docs") / RANGE_DOCS) / F.col("all_docs"))).cast("long"))
     own = W.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size")
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("before"))
+    # the words before a range: of blocks before its own, and of ranges before it in its block
+    sums = sums.withColumn("block", F.floor(F.col("bucket") / BLOCK))
+    blocks = sums.groupBy("source", "block").agg(F.sum("words").alias("words"))
+    upto = lambda *keys: W.partitionBy(*keys).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("source").alias("s"), F.col("block").alias("k"), F.coalesce(F.sum("words").over(upto("source").orderBy("block")), F.lit(0)).alias("earlier"))
+    sums = sums.withColumn("inner", F.coalesce(F.sum("words").over(upto("source", "block").orderBy("bucket")), F.lit(0)))
+    sums = sums.join(blocks, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).select("s", F.col("bucket").alias("b"), (F.col("earlier") + F.col("inner")).alias("before"))
     run = placed.withColumn("within", F.sum("size").over(own.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     run = run.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     goal_words = F.floor("target")
