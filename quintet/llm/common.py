@@ -37,10 +37,15 @@ def new_dir(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    With ``release`` the driver collects its garbage, so Spark deletes the shuffles that led to ``df`` now rather than some time later.
+    """
     spark, path = df.sparkSession, new_dir(df.sparkSession, tag)
     df.write.parquet(path)
+    if release:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
