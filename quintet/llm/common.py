@@ -40,11 +40,13 @@ def new_dir(spark: SparkSession, tag: str) -> str:
 def materialize(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage, survives lost executors.
 
-    With ``release`` the driver collects its garbage, so Spark deletes the shuffles that led to ``df`` now rather than some time later.
+    With ``release`` the shuffles that led to ``df`` are deleted now rather than some time later: Spark does so when the driver has
+    collected their plan, which it holds until another query has run.
     """
     spark, path = df.sparkSession, new_dir(df.sparkSession, tag)
     df.write.parquet(path)
     if release:
+        spark.range(1).write.format("noop").mode("overwrite").save()
         spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
