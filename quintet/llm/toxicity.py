@@ -35,7 +35,7 @@ PREFIXES = (4, 5)
 GRADES = 3
 
 _LETTER = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 def words(text: str | None) -> list[bytes]:
