@@ -243,3 +243,34 @@ def test_judged_predictions(spark):
     expected = spark.createDataFrame([(1, True), (2, False), (3, True)], "entry_id long, expected boolean")
     said = spark.createDataFrame([(1, True), (1, False), (2, True), (9, True)], "entry_id long, approved boolean")
     assert sorted(tuple(r) for r in ev.judge(said, expected).collect()) == [(1, True, False), (2, False, True), (3, True, None)]
+
+
+def nodes(q, ids, part, most, levels):
+    """The node of each id, by sorting."""
+    want = {}
+
+    def cut(rows, p, node):
+        if len(rows) <= most or node >= 1 << levels:
+            want.update({int(ids[r]): (p, node) for r in rows})
+            return
+        d = int((q[rows].max(0) - q[rows].min(0)).argmax())
+        rows = sorted(rows, key=lambda r: (q[r, d], ids[r]))
+        cut(rows[: len(rows) // 2], p, 2 * node)
+        cut(rows[len(rows) // 2 :], p, 2 * node + 1)
+
+    for p in set(part.tolist()):
+        cut(list(np.flatnonzero(part == p)), p, 1)
+    return want
+
+
+def test_forest_of_few_levels(spark):
+    rng = np.random.default_rng(31)
+    q, ids, part = rng.integers(0, 3, (1500, DIMS)) * 100, rng.permutation(1500) * 70_001, rng.integers(0, 2, 1500)
+    refs = spark.createDataFrame([(int(i), int(p), 0, *map(int, v)) for i, p, v in zip(ids, part, q)], "ref_id long, part int, label int, " + ", ".join(f"{x} smallint" for x in Q))
+    for levels, task_rows in ((3, 10_000), (3, 200), (3, 40), (62, 100)):
+        rows = ix.forest(refs, most=20, cell_rows=60, levels=levels, task_rows=task_rows).collect()
+        assert {r["ref_id"]: (r["part"], r["node"]) for r in rows} == nodes(q, ids, part, 20, levels)
+        cells = {}
+        for r in rows:
+            cells.setdefault(r["cell"], []).append(r["node"])
+        assert all(len(x) <= 60 or set(x) <= set(range(8, 16)) for x in cells.values())
