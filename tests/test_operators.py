@@ -274,3 +274,17 @@ def test_forest_of_few_levels(spark):
         for r in rows:
             cells.setdefault(r["cell"], []).append(r["node"])
         assert all(len(x) <= 60 or set(x) <= set(range(8, 16)) for x in cells.values())
+
+
+def test_small_cells_are_searched_together(spark, tmp_path):
+    refs = table(spark, 2000, 41, 3000)
+    queries = table(spark, 50, 42, 3000).drop("label").withColumnRenamed("ref_id", "qid")
+    ix.build_index(spark, refs, str(tmp_path / "kd"), cell_rows=128)
+    index = ix.open_index(spark, str(tmp_path / "kd"))
+    cells, to = index.cells.merged(400)
+    assert len(index.cells.cell) >= 16 and len(cells.cell) <= 9 and cells.rows.sum() == 2000 and cells.rows.max() <= 400
+    for i, c in enumerate(cells.cell):
+        assert (cells.low[i] == index.cells.low[to == c].min(0)).all() and (cells.high[i] == index.cells.high[to == c].max(0)).all()
+    sent, _ = index._merged
+    assert len(sent.value.cell) == 3
+    assert sorted(index.neighbours(queries, mode="chunked").collect()) == sorted(knn.exact_neighbours(queries, refs).collect())
