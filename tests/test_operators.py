@@ -288,3 +288,16 @@ def test_small_cells_are_searched_together(spark, tmp_path):
     sent, _ = index._merged
     assert len(sent.value.cell) == 3
     assert sorted(index.neighbours(queries, mode="chunked").collect()) == sorted(knn.exact_neighbours(queries, refs).collect())
+
+
+def test_cells_of_clusters_are_apart(spark):
+    refs = table(spark, 1500, 43, 3000)
+    centroids = spark.createDataFrame([(i, *[i * 1500] * DIMS) for i in range(2)], "cluster int, " + ", ".join(f"c{i} int" for i in range(DIMS)))
+    rows = ix.with_cells(ix.assign(refs, centroids), 130).collect()
+    cells = {}
+    for r in rows:
+        cells.setdefault((r["cluster"], r["cell"]), []).append([r[q] for q in Q])
+    assert len(rows) == 1500 and len(cells) >= 12 and max(map(len, cells.values())) <= 130
+    boxes = [(np.min(x, 0), np.max(x, 0)) for x in cells.values()]
+    inside = sum(int(((low <= v) & (v <= high)).all()) for x in cells.values() for v in x for low, high in boxes)
+    assert inside < 2 * 1500  # by id, a row lies in the boxes of most cells
