@@ -301,3 +301,26 @@ def test_cells_of_clusters_are_apart(spark):
     boxes = [(np.min(x, 0), np.max(x, 0)) for x in cells.values()]
     inside = sum(int(((low <= v) & (v <= high)).all()) for x in cells.values() for v in x for low, high in boxes)
     assert inside < 2 * 1500  # by id, a row lies in the boxes of most cells
+
+
+def test_features_of_clusters_query_are_worked_out_once(spark, monkeypatch):
+    from quintet.plans import queries as plans
+
+    calls, real = [], plans.rq.requests_from_events
+    monkeypatch.setattr(plans.rq, "requests_from_events", lambda df: calls.append(1) or real(df))
+    assert plans.queries()["score_with_clusters"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
+
+
+def test_keys_of_blocks_are_exact_in_both_forms():
+    rng = np.random.default_rng(8)
+    q = rng.integers(-10_000, 10_001, (3000, 14)).astype(np.int16)
+    q[1000:2000] = q[:1000]  # ties
+    x = np.concatenate((q[500:700], rng.integers(-10_000, 10_001, (100, 14)).astype(np.int16)))
+    d = ((x[:, None].astype(np.int64) - q.astype(np.int64)) ** 2).sum(2)
+    want = np.sort((d << 12) | np.arange(3000), axis=1)[:, :5]
+    for most in (None, 1 << 28):  # too large for double precision
+        b = Blocks(np.arange(3000), q, np.zeros(3000), np.zeros(3000, np.int64), 64)
+        b.most = most or b.most
+        distance, row = b.nearest(x)
+        assert (distance == want >> 12).all() and (row == want & 4095).all()
